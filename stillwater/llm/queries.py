@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, exact_dedup, html_text, labelled, mixing, neighbours, pii, quality, toxicity
+from stillwater.llm import bpe, exact_dedup, html_text, jaccard, labelled, mixing, neighbours, pii, quality, suffix, toxicity
 from stillwater.llm.common import table
 
 
@@ -26,10 +26,18 @@ def judged(scores: DataFrame, held_out: Column) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -58,7 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_suffix": op3_suffix,
     "op4_html_text": op4_html_text,
+    "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_neighbours": op8_neighbours,
