@@ -168,24 +168,27 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, ids array<int>, decoded string", 4_000_000)
 
 
-def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encoded``, digested where it was made."""
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encoded``, digested where it was made; and the ids, if wanted."""
 
     def make():
         encoder = Encoder(path)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             ids = encoder.encode(part.column(1).to_pylist())
+            offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
+            flat = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))] if with_ids else []
             return pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                    *flat,
                 ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
             )
 
         return work
 
-    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", 4_000_000)
+    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, 4_000_000)

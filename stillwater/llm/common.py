@@ -59,3 +59,27 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
     return docs.select(id_col).schema[0].dataType.simpleString()
+
+
+#: Identifiers are broadcast up to this many; beyond, rows are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose identifier is in ``ids`` (one column, counted before it is broadcast); nulls match nulls."""
+    named = cut(ids.toDF("__id"))
+    small = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    return docs.join(small, docs[id_col].eqNullSafe(small["__id"]), "left_semi")
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text ``make()(texts)`` keeps, all columns as they are. ``make`` runs once a task."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for part in slices(batch, at, 4_000_000):
+                yield part.filter(pa.array(work([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,21 +13,26 @@ count as rows; a null identifier sorts before all others; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.llm.common import cut, texts_of
+from stillwater.llm.common import cut, texts_of, with_ids
 
 PREFIX = 48
 
 
+def normalised(text: Column) -> Column:
+    """A text without its white space."""
+    return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     rows = texts_of(docs, id_col, text_col).select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         F.length("text").alias("n_code"),
-        F.regexp_replace("text", r"[\x20\x09-\x0D]+", "").alias("norm"),
+        normalised(F.col("text")).alias("norm"),
     )
     rows = rows.select(
         "doc_id", "row", "n_code", "norm",
@@ -58,13 +63,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts, all columns kept.
 
-    Rows are matched by identifier; of rows that repeat the kept identifier with an equal text one stays.
+    Where identifiers repeat, rows are matched by identifier and text, and of equal ones one stays.
     """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+", ""), 256))
-    same = marked[id_col].eqNullSafe(kept["_kept"]) & (marked["_sha"] == kept["_sha"])
-    out = marked.join(kept, same, "left_semi")
-    return out.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    groups = cut(exact_groups(docs, id_col, text_col))
+    repeats = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = groups.filter("kept")
+    if repeats.isEmpty():
+        return with_ids(docs, kept.select("doc_id"), id_col)
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+    marked = docs.withColumn("__sha", F.sha2(normalised(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256)).withColumn("__n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__kept_sha"]), "left_semi")
+    first = Window.partitionBy(id_col, "__sha").orderBy(F.desc("__n"), text_col)
+    return out.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from stillwater.llm import labelled
-from stillwater.llm.common import id_type, map_texts, texts_of
+from stillwater.llm.common import filter_texts, id_type, map_texts, texts_of
 
 K, SPAN, DECAY, WINDOW = 4, 7, 0.7, 8
 COMMON = 24
@@ -307,3 +307,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return work
 
     return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, score double", 1_000_000)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = held.value
+        return lambda texts: (own.score(texts) < threshold).tolist()
+
+    return filter_texts(docs, make, text_col)
