@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stillwater.plans import images
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(images.QUERIES)
+ORACLES = dict(images.ORACLES)
 FLAGSHIP = "frame_metrics"
