@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stillwater.plans import images
+from stillwater.plans import images, records
 
-QUERIES = dict(images.QUERIES)
-ORACLES = dict(images.ORACLES)
+QUERIES = images.QUERIES | records.QUERIES
+ORACLES = images.ORACLES | records.ORACLES
 FLAGSHIP = "frame_metrics"
