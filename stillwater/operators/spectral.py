@@ -20,7 +20,7 @@ Keys = Sequence[str]
 
 def dft(image: DataFrame, keys: Keys) -> DataFrame:
     """keys, ky, kx, re, im, h, w."""
-    rows = image.join(sizes(image, keys), list(keys)) if keys else image
+    rows = image.join(sizes(image, keys), list(keys)) if keys else image.join(F.broadcast(sizes(image, keys)))
     rows = rows.select(*keys, "y", "x", "v", "h", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("kx"))
     angle = F.lit(-2 * math.pi) * ((F.col("x") * F.col("kx")) % F.col("w")) / F.col("w")
     rows = rows.groupBy(*keys, "h", "w", "y", "kx").agg(F.sum(F.col("v") * F.cos(angle)).alias("a"), F.sum(F.col("v") * F.sin(angle)).alias("b"))
