@@ -37,6 +37,10 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     # multiply-shift hashing; each family has a part of the table for itself
     three = ((three * np.uint32(2654435761)) >> np.uint32(32 - BITS)) + np.uint32(2 << BITS)
     four = ((four * np.uint32(2246822519)) >> np.uint32(32 - BITS)) + np.uint32(3 << BITS)
+    # grams that would reach into the next text are one and the same gram
+    ends = starts + np.array([len(r) for r in raw], np.int64)
+    beyond = (ends[:, None] + np.arange(1, len(PAD))).ravel()
+    three[beyond], four[beyond] = (3 << BITS) - 1, (4 << BITS) - 1
     solid = byte[:n] > 32
     begin = solid & ~np.r_[False, solid[:-1]]
     first = np.flatnonzero(begin)
