@@ -33,18 +33,19 @@ KEEPS = {"article", "main"}
 #: Words that begin the class, id or role of what is not main text.
 NOT_MAIN = re.compile(r"(?!.*(?:with|has|no)[-_])(?:(?:ads?|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent\w*|notices?|notification\w*|alert\w*|sidebar\w*|sidebox|complementary|menus?|nav|navbar\w*|navigation|breadcrumbs?|footer\w*|header\w*|masthead|share\w*|social\w*|related\w*|newsletter\w*|subscri\w*|signup|login\w*|search\w*|popup\w*|modal\w*|toolbar\w*|widgets?|contentinfo|pagination|skip|disclaimer)(?:[-_]\w*)*|(?:\w+[-_])+(?:ads?|advert|sidebar|menu|nav|navbar|banner|notice|footer))", re.I)
 COMMENTS = re.compile(r"(?:comments?|replies|reply|respond|disqus\w*|discussion)(?:[-_]\w*)*|(?:\w+[-_])+comments?", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WINDOW, SURGE = 3, 86
 #: Closed by the next of its kind.
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
 
 
 class Line:
-    __slots__ = ("words", "links", "skipped", "inside")
+    __slots__ = ("words", "links", "skipped", "inside", "heading")
 
-    def __init__(self, skipped: bool, inside: bool):
+    def __init__(self, skipped: bool, inside: bool, heading: bool):
         self.words: list[str] = []
         self.links = 0
-        self.skipped, self.inside = skipped, inside
+        self.skipped, self.inside, self.heading = skipped, inside, heading
 
 
 def lines_of(page: str) -> list[Line]:
@@ -60,7 +61,7 @@ def lines_of(page: str) -> list[Line]:
             return
         _, skipped, comments, inside, link = stack[-1]
         if line is None:
-            line = Line(skipped or comments, inside)
+            line = Line(skipped or comments, inside, stack[-1][0] in HEADINGS)
             lines.append(line)
         text = entities.unescape(text)
         line.words.append(text)
@@ -140,7 +141,8 @@ def main_blocks(page: str) -> list[str]:
     for i, total in enumerate(sums):
         own = length[i]
         if not on and own and total > SURGE:
-            on = own > SURGE or sum(1 for n in length[i : i + WINDOW] if n > SURGE // 3) >= 2  # the surge is this line's, not only what follows
+            # the surge is this line's, not only what follows: a long line, a heading, or one of several
+            on = own > SURGE or found[i][0].heading or sum(1 for n in length[i : i + WINDOW] if n > SURGE // 3) >= 2
         elif on and total == 0:
             on = False
         if on and own:
