@@ -39,16 +39,27 @@ U = np.uint64
 _table = np.random.default_rng(20240307).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
+def eights(byte: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros past the end), without copying."""
+    padded = np.concatenate([byte, np.zeros(16, np.uint8)])
+    return np.ndarray((len(byte) + 8,), kind, padded, strides=(1,))
+
+
 def gram_hashes(byte: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each position on (fewer at the end)."""
-    x = _table[byte]
-    width = 1
-    while width < GRAM:  # the hash of 2w bytes from those of w
-        y = np.zeros_like(x)
-        y[:-width] = x[width:]
-        x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9) + y * U(0x94D049BB133111EB)
-        width *= 2
-    return x ^ (x >> U(32))
+    """A 64-bit hash of the ``GRAM`` bytes from each position on (fewer at the end), in blocks that stay in the processor's cache."""
+    e, n = eights(byte), len(byte)
+    out = np.empty(n, U)
+    for a in range(0, n, 1 << 15):
+        b = min(n, a + (1 << 15))
+        x, y = e[a:b] * U(0x9E3779B97F4A7C15), e[a + 8 : b + 8] * U(0xC2B2AE3D27D4EB4F)
+        x ^= x >> U(32)
+        y ^= y >> U(29)
+        x *= U(0xBF58476D1CE4E5B9)
+        x += y * U(0x94D049BB133111EB)
+        x ^= x >> U(31)
+        x *= U(0xD6E8FEB86659FD93)
+        out[a:b] = x ^ (x >> U(32))
+    return out
 
 
 def anchors(byte: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,31 +68,34 @@ def anchors(byte: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, U)
     h = gram_hashes(byte)
-    v = (h & ~U((1 << 28) - 1)) | np.arange(n, dtype=U)  # ties go to the left
-    span, width = length - GRAM + 1, 1
-    while 2 * width <= span:
-        v = np.minimum(v[:-width], v[width:])
-        width *= 2
-    v = np.minimum(v[: n - length + 1], v[span - width : span - width + n - length + 1])
+    last = n - length + 1
+    at = np.empty(last, np.int64)
+    span, low = length - GRAM + 1, U((1 << 28) - 1)
+    for a in range(0, last, 1 << 15):
+        b = min(last, a + (1 << 15))
+        v = (h[a : b + span - 1] & ~low) | np.arange(a, b + span - 1, dtype=U)  # ties go to the left
+        width = 1
+        while 2 * width <= span:
+            v = np.minimum(v[:-width], v[width:])
+            width *= 2
+        at[a:b] = np.minimum(v[: b - a], v[span - width : span - width + b - a]) & low
     start_of = np.r_[0, ends[:-1]]
-    ok = np.zeros(n + 1, np.int32)
+    ok = np.zeros(n + 1, np.int8)
     long = ends - start_of >= length
-    np.add.at(ok, start_of[long], 1)
-    np.add.at(ok, ends[long] - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(ok[:-1])[: n - length + 1] > 0)
-    return starts, (v[starts] & U((1 << 28) - 1)).astype(np.int64), h
+    ok[start_of[long]] += 1
+    ok[ends[long] - length + 1] -= 1
+    starts = np.flatnonzero(np.cumsum(ok[:last], dtype=np.int8))
+    return starts, at[starts], h
 
 
 def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The suffix array of ``text``, sorted to ``depth`` bytes; ties by position. The text is seen as ending in zeros."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
-    key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | padded[i : n + i]
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order[1:]] != key[order[:-1]]]
-    del key, padded
+    key = eights(text, ">u8")[:n].astype(U)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][:n]
+    del key
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's number is its first place
     tied = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in groups of two and more
@@ -90,16 +104,16 @@ def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         own = order[tied]
         after = own + h
         beyond = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        head = rank[own]
-        by = np.argsort(beyond, kind="stable")
-        by = by[np.argsort(head[by], kind="stable")]
-        own, head, beyond = own[by], head[by], beyond[by]
+        key = rank[own] * (n + 1) + beyond
+        by = np.argsort(key)
+        own, key = own[by], key[by]
         order[tied] = own
-        fresh = np.r_[True, (head[1:] != head[:-1]) | (beyond[1:] != beyond[:-1])]
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))
-        rank[own] = tied[at]
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        rank[own] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
         tied = tied[~(fresh & np.r_[fresh[1:], True])]
         h *= 2
+    own = order[tied]
+    order[tied] = own[np.argsort(rank[own] * n + own)]
     return order
 
 
@@ -117,26 +131,22 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH, d
     before[order[1:]] = order[:-1]
     follows = np.r_[False, (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)]
     place = np.arange(n)
-    chain = place - np.maximum.accumulate(np.where(follows, 0, place))
-    compared = np.flatnonzero((chain % (depth - length) == 0) & (before >= 0))
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (n + depth, 8), (1, 1))
+    begins = (place - np.maximum.accumulate(np.where(follows, 0, place))) % (depth - length) == 0
+    alive = np.flatnonzero(begins & (before >= 0))
+    words = eights(np.concatenate([text, np.zeros(depth, np.uint8)]))
     value = np.zeros(n, np.int64)
-    alive = compared
     for step in range(0, depth, 8):
-        same = words[alive + step] == words[before[alive] + step]
-        whole = same.all(1)
-        part = np.where(whole, 8, np.argmin(same, axis=1))
-        value[alive] += part
+        off = words[alive + step] ^ words[before[alive] + step]
+        whole = off == 0
+        value[alive[whole]] += 8
+        some = off[~whole]
+        value[alive[~whole]] += np.bitwise_count((some & (~some + U(1))) - U(1)) >> 3
         alive = alive[whole]
         if not len(alive):
             break
-    reach = np.zeros(n, np.int64)
-    reach[compared] = value[compared] + compared
-    # a break in the chain starts anew: values do not run on past it
-    segment = np.cumsum((chain % (depth - length) == 0))
-    base = segment * (n + depth + 1)
-    run = np.maximum.accumulate(np.where((chain % (depth - length) == 0), base + reach, 0)) - base - place
+    # values do not run on past a place where the chain begins anew
+    base = np.cumsum(begins) * (n + depth + 1)
+    run = np.maximum.accumulate(np.where(begins, base + value + place, 0)) - base - place
     shared = np.clip(np.minimum(run, n - place), 0, depth)
     shared[before < 0] = 0
     out = shared[order]
@@ -187,13 +197,20 @@ class Shard:
         return np.searchsorted(self.ends, position, side="right")
 
 
+def marked(at: np.ndarray, n: int) -> np.ndarray:
+    """The distinct positions among many, in order."""
+    flag = np.zeros(n, bool)
+    flag[at] = True
+    return np.flatnonzero(flag)
+
+
 def tell_anchors(buckets: int):
     """A shard's distinct anchors: rows (bucket, shard, blob)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = Shard(table)
         _, at, h = anchors(shard.byte, shard.ends)
-        hashes = np.unique(h[np.unique(at)])
+        hashes = np.unique(h[marked(at, len(h))])
         bucket = ((hashes >> U(8)) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -239,19 +256,20 @@ def within_shard(buckets: int):
         start, at, h = anchors(shard.byte, shard.ends)
         if len(start):
             elsewhere = np.unique(np.concatenate([np.zeros(0, U), *(unpack(b, [U])[0] for b in shared.column("blob").to_pylist())]))
-            own = np.unique(at)
+            own = marked(at, len(h))
             hashes = h[own]
             _, where, times = np.unique(hashes, return_inverse=True, return_counts=True)
             abroad = np.isin(hashes, elsewhere)
-            of_start = np.searchsorted(own, at)
-            active = (abroad | (times[where] > 1))[of_start]
-            abroad = abroad[of_start]
+            flag = np.zeros(len(h), np.int8)  # by position: 1 twice in this shard, 2 in others
+            flag[own] = (times[where] > 1) + 2 * abroad
+            flag = flag[at]
+            active, abroad = flag > 0, flag > 1
             start, at, abroad = start[active], at[active], abroad[active]
         if len(start):
             # the bytes of active strings alone, end to end; strings are compared over ``LENGTH`` bytes, all theirs
             mark = np.zeros(len(shard.byte) + 1, np.int32)
-            np.add.at(mark, start, 1)
-            np.add.at(mark, start + LENGTH, -1)
+            mark[start] += 1  # starts are distinct
+            mark[start + LENGTH] -= 1
             held = np.cumsum(mark[:-1]) > 0
             place = np.cumsum(held) - 1
             text = shard.byte[held]
@@ -259,7 +277,7 @@ def within_shard(buckets: int):
             valid[place[start]] = True
             first = first_starts(text, valid)[place[start]]
             again = first != place[start]
-            begin, end = intervals_in(shard, start[again])
+            begin, end = intervals_of(start[again])
             doc = shard.document(begin)
             give(key[0].as_py() % buckets, 0, pack(doc.astype(np.int64), begin - shard.begins[doc], end - shard.begins[doc]))
             lone = ~again & abroad
@@ -283,12 +301,11 @@ def within_shard(buckets: int):
     return run
 
 
-def intervals_in(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of starts as byte intervals, cut at documents' ends (strings never cross them, runs of starts might)."""
+def intervals_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive starts as byte intervals. Starts of different documents are never consecutive: their strings end with the document."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = shard.document(starts)
-    head = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(doc) != 0)])
+    head = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
     return starts[head], starts[np.r_[head[1:], len(starts)] - 1] + LENGTH
 
 
@@ -312,26 +329,23 @@ def merge(table: pa.Table) -> pa.Table:
         flat = np.concatenate([g[5] for _, g in got])
         total = size.astype(np.int64) + LENGTH - 1
         at = np.cumsum(total) - total
-        # runs in the order of their starts, those of one anchor together
-        order = np.lexsort((begin, doc, mark))
-        raw = flat.tobytes()
-        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(mark[order]) != 0]), len(order)]
-        found_run, found_begin, found_end = [], [], []
-        mixed = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a == 1:
-                continue
-            seen: dict[bytes, int] = {}
-            for i in order[a:b].tolist():
-                content = raw[at[i] : at[i] + total[i]] + bytes([offset[i]])
-                if content in seen:
-                    found_run.append(i)
-                    found_begin.append(0)
-                    found_end.append(int(total[i]))
-                else:
-                    seen[content] = i
-            if len(seen) > 1:
-                mixed.append(list(seen.values()))
+        # runs of one anchor and equal bytes together, in the order of their starts; a hash of the bytes sorts them, the bytes decide
+        inside = np.arange(len(flat)) - np.repeat(at, total)
+        content = np.add.reduceat((_table[flat] ^ (_places[inside] * U(0x9E3779B97F4A7C15))) * (_places[inside] | U(1)), at, dtype=U)
+        content ^= (size.astype(U) << U(8)) | offset
+        order = np.lexsort((begin, doc, content, mark))
+        mark_, content_ = mark[order], content[order]
+        new_anchor = np.r_[True, mark_[1:] != mark_[:-1]]
+        new = new_anchor | np.r_[True, content_[1:] != content_[:-1]]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        equal = same_bytes(flat, at, total, order, head)
+        again = order[~new & equal]
+        found_run, found_begin, found_end = again.tolist(), [0] * len(again), total[again].tolist()
+        # the other runs of an anchor that has several are merged string by string
+        rest = new | ~equal
+        anchor = np.cumsum(new_anchor)
+        several = rest & (np.bincount(anchor, rest)[anchor] > 1)
+        mixed = np.split(order[several], np.flatnonzero(np.diff(anchor[several])) + 1) if several.any() else []
         if mixed:
             for runs in grouped(mixed, size):
                 own = np.array(runs)
@@ -366,7 +380,27 @@ def merge(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array(out["shard"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
 
-def grouped(mixed: list[list[int]], size: np.ndarray, most: int = 200_000):
+_places = np.random.default_rng(20240311).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def same_bytes(flat: np.ndarray, at: np.ndarray, total: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the bytes of runs equal those of other runs of the same length."""
+    out = total[one] == total[other]
+    words = eights(np.concatenate([flat, np.zeros(8, np.uint8)]))
+    alive = np.flatnonzero(out & (one != other))
+    for step in range(0, 256, 8):
+        left = total[one[alive]] - step
+        alive, left = alive[left > 0], left[left > 0]
+        if not len(alive):
+            break
+        off = words[at[one[alive]] + step] ^ words[at[other[alive]] + step]
+        off &= np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1))
+        out[alive[off != 0]] = False
+        alive = alive[off == 0]
+    return out
+
+
+def grouped(mixed: list[np.ndarray], size: np.ndarray, most: int = 200_000):
     """Anchors' runs together in batches of about ``most`` strings; one anchor's runs are never parted."""
     batch, held = [], 0
     for runs in mixed:
@@ -374,7 +408,7 @@ def grouped(mixed: list[list[int]], size: np.ndarray, most: int = 200_000):
         if batch and held + n > most:
             yield batch
             batch, held = [], 0
-        batch += runs
+        batch += runs.tolist()
         held += n
     if batch:
         yield batch
