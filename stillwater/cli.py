@@ -110,6 +110,87 @@ def diagnostics(a: argparse.Namespace) -> int:
     return 0
 
 
+def evaluate_reference(a: argparse.Namespace) -> int:
+    spark = session()
+    reference = images.pixels(images.load(spark, a.reference)).drop("path")
+    rows = evaluate.against_reference(reference, spark.read.parquet(a.result), ["case_id", "algorithm"], a.registration, a.photometry, a.limitation, bins=a.bins)
+    got = [r.asDict(True) for r in evaluate.nested(rows, ["case_id", "algorithm"]).join(rows.select("case_id", "algorithm", "uncertainty", "risk_level"), ["case_id", "algorithm"]).collect()]
+    reports.write_json({"reports": got, "provenance": study.provenance()}, a.out)
+    return 0
+
+
+def builtin_study(a: argparse.Namespace) -> int:
+    spark = session()
+    made = [study.Algorithm(n, builtin=n, block=a.block) for n in ("mean_stack", "translation_stack", "local_block_stack")]
+    study.study(cases.frames(spark, a.case), cases.truth(spark, a.case, "latent"), made, ["case_id"], bins=a.bins).write.mode("overwrite").parquet(a.out)
+    return 0
+
+
+def render_reference(a: argparse.Namespace) -> int:
+    from stillwater.plans import render
+
+    source = images.pixels(images.load(session(), a.source))
+    render.telescope_reference(source, ["path"], a.sigma, airy_r0=a.airy_r0).write.mode("overwrite").parquet(a.out)
+    return 0
+
+
+def validate_manifest(a: argparse.Namespace) -> int:
+    from stillwater.plans import products
+
+    rows = [r.asDict() for r in products.validation(products.manifests(session(), *a.manifests)).collect()]
+    print(reports.table(rows, ["path", "is_valid", "error", "n_documents", "n_products", "status"]))
+    return 0 if all(r["is_valid"] for r in rows) else 1
+
+
+def roi_statuses(a: argparse.Namespace):
+    from stillwater.plans import products
+
+    spark = session()
+    needed = products.requirements(products.regions(spark, a.roi), products.manifests(spark, a.manifests))
+    return products, spark, products.file_statuses(needed, products.local_files(spark, a.root), products.labels_below(spark, a.root, a.labels))
+
+
+def roi_readiness(a: argparse.Namespace) -> int:
+    products, _, statuses = roi_statuses(a)
+    rows = [r.asDict(True) for r in products.readiness(statuses).collect()]
+    reports.write_json(rows, a.out)
+    return 0 if all(r["is_ready"] for r in rows) else 1
+
+
+def roi_download_plan(a: argparse.Namespace) -> int:
+    products, _, statuses = roi_statuses(a)
+    reports.write_json([r.asDict(True) for r in products.download_plan(statuses).orderBy("roi", "ordinal", "destination").collect()], a.out)
+    return 0
+
+
+def extract_roi(a: argparse.Namespace) -> int:
+    products, spark, statuses = roi_statuses(a)
+    made, skipped = products.extraction(spark, statuses, a.root)
+    reports.write_json([r.asDict(True) for r in skipped.select("roi", "role", "path", "reason").collect()], f"{a.out}.skipped.json")
+    made.write.mode("overwrite").partitionBy("path").parquet(a.out)
+    return 0 if not made.isEmpty() else 1
+
+
+def reproject_roi(a: argparse.Namespace) -> int:
+    from stillwater.plans import render
+
+    source = session().read.parquet(a.source)
+    out = render.reprojected(source, ["path"], a.width_km, a.height_km, a.m_per_px)
+    out.write.mode("overwrite").partitionBy("path").parquet(a.out)
+    return 0 if not out.isEmpty() else 1
+
+
+def fetch_products(a: argparse.Namespace) -> int:
+    from stillwater.sources import fetch
+
+    plan = [r for r in reports.read_json(a.plan) if r["kind"] == "product"]
+    labels_ = [r for r in reports.read_json(a.plan) if r["kind"] == "label"]
+    for r in labels_:
+        fetch.text(r["url"], fetch.target(a.root, r["destination"]))
+    fetch.products(plan, a.root, a.max_total_bytes)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stillwater")
     sub = p.add_subparsers(required=True)
@@ -132,6 +213,16 @@ def parser() -> argparse.ArgumentParser:
     command("report", report, out, (["metrics"], {}))
     command("compare", compare, out, (["--format"], {"default": "markdown", "choices": ["markdown", "json"]}), (["metrics"], {"nargs": "+"}))
     command("synthetic-sweep", sweep, out, (["--config"], {}))
+    command("evaluate-reference", evaluate_reference, result, out, (["--reference"], {"required": True}), (["--registration"], {"default": "none", "choices": ["none", "integer_phase_correlation_translation"]}), (["--photometry"], {"default": "none", "choices": ["none", "linear_least_squares"]}), (["--limitation"], {"action": "append", "default": []}), (["--bins"], {"type": int, "default": 32}))
+    command("builtin-baselines", builtin_study, case, out, (["--block"], {"type": int, "default": 32}), (["--bins"], {"type": int, "default": 32}))
+    command("telescope-reference", render_reference, out, (["--source"], {"required": True}), (["--sigma"], {"type": float, "default": 1.656}), (["--airy-r0"], {"type": float}))
+    command("validate-manifest", validate_manifest, (["manifests"], {"nargs": "+"}))
+    roi = [(["--roi"], {"required": True}), (["--manifests"], {"required": True}), (["--root"], {"required": True}), (["--labels"], {"default": "data/metadata"})]
+    command("roi-readiness", roi_readiness, out, *roi)
+    command("roi-download-plan", roi_download_plan, out, *roi)
+    command("extract-roi", extract_roi, out, *roi)
+    command("reproject-roi", reproject_roi, out, (["--source"], {"required": True}), *((([f"--{n}"], {"type": float, "required": True})) for n in ("width-km", "height-km", "m-per-px")))
+    command("fetch-products", fetch_products, (["plan"], {}), (["--root"], {"required": True}), (["--max-total-bytes"], {"type": int, "required": True}))
     command("tool-readiness", tool_readiness, (["config"], {}))
     return p
 
