@@ -428,9 +428,11 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("y", "x").agg((F.avg("l_extendedprice") / 1000).alias("v"))
 
 
-@query(f"WITH {RASTER} SELECT y, x, round(v, 7) + 0.0 AS v FROM raster")
+@query("SELECT CAST(least(floor(l_quantity), 49) AS INT) AS y, CAST(floor(l_discount * 100 + 0.5) AS INT) AS x, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def lineitem_raster(spark, sf_dir):
-    return rounded(raster(spark, sf_dir), "v", digits=7)  # means of prices in cents: five digits would often end in a tie
+    """The raster's sums, in whole cents: means of prices end in ties that engines round differently."""
+    rows = table(spark, sf_dir, "lineitem").select(F.least(F.floor("l_quantity"), F.lit(49)).cast("int").alias("y"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("x"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return rows.groupBy("y", "x").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"))
 
 
 SLOPE = f"""{RASTER}, z AS (SELECT y, x, coalesce((lead(v) OVER rx - lag(v) OVER rx) / 20.0, (lead(v) OVER rx - v) / 10.0, (v - lag(v) OVER rx) / 10.0, 0.0) AS zx, coalesce((lead(v) OVER ry - lag(v) OVER ry) / 20.0, (lead(v) OVER ry - v) / 10.0, (v - lag(v) OVER ry) / 10.0, 0.0) AS zy FROM raster WINDOW rx AS (PARTITION BY y ORDER BY x), ry AS (PARTITION BY x ORDER BY y)),
