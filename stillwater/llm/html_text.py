@@ -4,7 +4,8 @@ Markup is stripped into lines, one a block element, in page order. A line's leng
 text outside links; lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments have length 0. Sums over sliding windows of lines rise at a surge point, where the main text
 begins, and fall to nothing at a dive point, where it ends; lines with text between them are kept. Where a page marks its
-article, lines outside it have length 0 and each line within counts as a surge of its own, so that short articles are found.
+article, the mark is a prior: text in links counts within it, a surge is half as high within it and twice as high outside,
+and the article's edge ends a text. A marked article without a surge point, too short for one, is taken whole.
 
 Defined results: a null or empty page, or one without main text, gives an empty text and 0
 characters; repeated rows are read alike; an unclosed tag is dropped and an unclosed comment,
@@ -35,6 +36,8 @@ NOT_MAIN = re.compile(r"(?!.*(?:with|has|no)[-_])(?:(?:ads?|adv|advert\w*|adbox|
 COMMENTS = re.compile(r"(?:comments?|replies|reply|respond|disqus\w*|discussion)(?:[-_]\w*)*|(?:\w+[-_])+comments?", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WINDOW, SURGE = 3, 86
+#: A marked article's surge is lower, and that of what is outside it higher, by this factor.
+PRIOR = 2
 #: Closed by the next of its kind.
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
 
@@ -128,26 +131,25 @@ def main_blocks(page: str) -> list[str]:
     found = [(x, " ".join("".join(x.words).split())) for x in lines_of(page)]
     found = [(x, text) for x, text in found if text]
     marked = any(x.inside and not x.skipped for x, _ in found)
-    length = []
-    for x, text in found:
-        if x.skipped or (marked and not x.inside):
-            length.append(0)
-        elif marked:
-            length.append(max(len(text), SURGE + 1))
-        else:
-            length.append(max(0, len(text) - x.links))
+    length = [0 if x.skipped else len(text) if x.inside else max(0, len(text) - x.links) for x, text in found]
     sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
-    keep, on = [], False
+    keep, on, surged = [], False, False
     for i, total in enumerate(sums):
-        own = length[i]
-        if not on and own and total > SURGE:
+        own, inside = length[i], found[i][0].inside
+        surge = SURGE if not marked else SURGE // PRIOR if inside else SURGE * PRIOR
+        if i and inside != found[i - 1][0].inside:
+            on = False
+        if not on and own and total > surge:
             # the surge is this line's, not only what follows: a long line, a heading, or one of several
-            on = own > SURGE or found[i][0].heading or sum(1 for n in length[i : i + WINDOW] if n > SURGE // 3) >= 2
+            on = own > surge or found[i][0].heading or sum(1 for n in length[i : i + WINDOW] if n > surge // 3) >= 2
+            surged = surged or (on and inside)
         elif on and total == 0:
             on = False
         if on and own:
-            keep.append(found[i][1])
-    return keep
+            keep.append(i)
+    if marked and not surged:
+        keep = sorted({*keep, *(i for i, n in enumerate(length) if n and found[i][0].inside)})
+    return [found[i][1] for i in keep]
 
 
 def extract(page: str | None) -> str:

@@ -54,6 +54,14 @@ def test_article_is_found_with_and_without_its_mark():
     assert html_text.extract(PAGE % (body, long, long)) == want
 
 
+def test_line_lengths_decide_on_marked_pages_too():
+    long = " ".join(["word"] * 60)
+    few = "<p>Share</p><p>Print</p><p>3 min</p><p>Save</p>"
+    assert html_text.extract(f"<article>{few}<p>{long}</p><p>Short.</p></article>") == f"{long}\n\nShort."
+    assert html_text.extract(f"<article>{few}</article><p>{long}</p>") == f"Share\n\nPrint\n\n3 min\n\nSave\n\n{long}"
+    assert html_text.extract(f"<article><p>{long}</p></article><p>{'word ' * 30}</p>") == long
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("plain text " * 20, ("plain text " * 20).strip()), ("<article>x</article>", "x"), ("<article><p>a < b &am", "a < b &am"), ("<article>a<!-- b", "a"), ("<article>a<script>b", "a"), ("<article><p title='>'>a</p></article><p", "a"), ("<article><p>a</article></p></div>", "a")])
 def test_odd_pages(page, text):
     assert html_text.extract(page) == text
