@@ -141,6 +141,15 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert recall >= 0.95
 
 
+def test_repeated_rows_take_no_neighbours_place(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.3 * rng.normal(size=16)]) for i in range(3000)]
+    want, got = brute(rows), found(spark, rows * 2)
+    assert got == found(spark, rows) and all(len(got[q]) == 20 for q in want)
+    assert np.mean([len(set(want[q]) & set(got[q])) / 20 for q in want]) >= 0.95
+
+
 def test_neighbours_of_equal_and_unusable_vectors(spark):
     same = [1.0] + [0.0] * 15
     rows = [(i, same) for i in range(60)] + [(100, None), (101, [0.0] * 16), (102, [float("nan")] * 16), (103, [float("inf")] + [1.0] * 15), (104, [1.0] * 3), (105, [None] + [1.0] * 15), (120, [0.5] * 16)]
