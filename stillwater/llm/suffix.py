@@ -121,7 +121,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH, d
     """For each place of the suffix array the bytes shared with the place before it, at ``depth`` at most.
 
     Kasai's recurrence: a suffix shares one byte fewer than its left neighbour in the text if their
-    predecessors are neighbours as well. Other suffixes are compared, and so is every one
+    predecessors are neighbours as well and that neighbour shares a byte at all. Other suffixes are compared, and so is every one
     after ``depth - length`` steps, lest a value cut at ``depth`` run down below ``length``.
     """
     n = len(text)
@@ -129,7 +129,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH, d
         return np.zeros(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    follows = np.r_[False, (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)]
+    follows = np.r_[False, (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (text[:-1] == text[before[:-1]])]
     place = np.arange(n)
     begins = (place - np.maximum.accumulate(np.where(follows, 0, place))) % (depth - length) == 0
     alive = np.flatnonzero(begins & (before >= 0))

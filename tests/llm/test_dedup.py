@@ -151,3 +151,14 @@ def test_suffix_order_and_prefixes(seed):
         a, b = raw[order[k - 1] :], raw[order[k] :]
         n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert (got[k] >= 100) == (n >= 100)
+
+
+def test_repeats_after_neighbours_that_share_nothing(spark):
+    """'Q' and 'R' are neighbours in the order without a common byte, and so are the equal texts after them."""
+    text = "".join(np.random.default_rng(4).choice(list("abcdefghij "), 300))
+    rows = [(1, "Q" + text), (2, "R" + text)]
+    got = suffix.deduplicated(cases.documents(spark, rows), digest=True).collect()
+    assert sorted((key(r["doc_id"]), *tuple(r)[1:]) for r in got) == brute_repeats(rows)
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    order = suffix.suffix_order(raw)
+    assert suffix.common_prefixes(raw, order)[order.tolist().index(302)] >= 100
