@@ -8,7 +8,7 @@ article, the mark is a prior: text in links counts within it, a surge is half as
 and the article's edge ends a text. A marked article without a surge point, too short for one, is taken whole.
 
 Defined results: a null or empty page, or one without main text, gives an empty text and 0
-characters; repeated rows are read alike; an unclosed tag is dropped and an unclosed comment,
+characters; repeated rows are read alike; an end tag finds its opening tag at any depth; an unclosed tag is dropped and an unclosed comment,
 script or style runs to the page's end; an empty table gives an empty table.
 """
 
@@ -31,6 +31,8 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button",
 BLOCKS = ASIDE | set("address article blockquote body center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 KEEPS = {"article", "main"}
+#: No end tag of what is not a block reaches past them.
+WALLS = KEEPS | ASIDE
 #: Words that begin the class, id or role of what is not main text.
 NOT_MAIN = re.compile(r"(?!.*(?:with|has|no)[-_])(?:(?:ads?|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent\w*|notices?|notification\w*|alert\w*|sidebar\w*|sidebox|complementary|menus?|nav|navbar\w*|navigation|breadcrumbs?|footer\w*|header\w*|masthead|share\w*|social\w*|related\w*|newsletter\w*|subscri\w*|signup|login\w*|search\w*|popup\w*|modal\w*|toolbar\w*|widgets?|contentinfo|pagination|skip|disclaimer)(?:[-_]\w*)*|(?:\w+[-_])+(?:ads?|advert|sidebar|menu|nav|navbar|banner|notice|footer))", re.I)
 COMMENTS = re.compile(r"(?:comments?|replies|reply|respond|disqus\w*|discussion)(?:[-_]\w*)*|(?:\w+[-_])+comments?", re.I)
@@ -38,8 +40,14 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WINDOW, SURGE = 3, 86
 #: A marked article's surge is lower, and that of what is outside it higher, by this factor.
 PRIOR = 2
-#: Closed by the next of its kind.
-CLOSES_ITSELF = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
+#: Closed by a tag that begins the next of them, where no other block is open within.
+NEXT = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+BOUNDS = (BLOCKS | {"td", "th"}) - {"address", "div", "p"}
+#: Closed likewise by a part of the same table.
+CELLS = ("td", "th")
+ROWS = (*CELLS, "tr")
+PARTS = (*ROWS, "thead", "tbody", "tfoot", "caption")
+TABLE = dict.fromkeys(CELLS, CELLS) | {"tr": (*ROWS, "caption")} | dict.fromkeys(("thead", "tbody", "tfoot", "caption"), PARTS)
 
 
 class Line:
@@ -55,9 +63,25 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines with text, in order."""
     # a frame: tag, skipped, within reader comments, inside the marked article, in a link
     stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    # the places in the stack of the open frames of a tag, and of those that end the search for another
+    places: dict[str, list[int]] = {}
+    bounds: list[int] = []
+    walls: list[int] = []
     lines: list[Line] = []
     line: Line | None = None
 
+    def last(tag: str) -> int:
+        return own[-1] if (own := places.get(tag)) else 0
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in BOUNDS:
+                bounds.pop()
+            if tag in WALLS:
+                walls.pop()
+
     def add(text: str) -> None:
         nonlocal line
         if not text or (text.isspace() and line is None):
@@ -91,24 +115,23 @@ def lines_of(page: str) -> list[Line]:
         elif tag in {"br", "td", "th"}:
             add(" ")
         if closing:
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in KEEPS | ASIDE and tag not in BLOCKS:
-                    break
+            i = last(tag)
+            if i > (last("table") if tag in TABLE else walls[-1] if walls and tag not in BLOCKS else 0):
+                close(i)
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in CLOSES_ITSELF and stack[-1][0] == tag:
-            stack.pop()
-        elif tag in BLOCKS and tag != "p":
+        if tag in NEXT and bounds and stack[bounds[-1]][0] in NEXT[tag]:
+            close(bounds[-1])
+        elif tag in TABLE and (open_ := [i for x in TABLE[tag] if (i := last(x)) > last("table")]):
+            close(min(open_))
+        if tag in BLOCKS and tag != "p":
             while stack[-1][0] in {"p", "b", "i", "em", "strong", "span", "u", "font"} and any(f[0] == "p" for f in stack[-8:]):
-                stack.pop()
+                close(len(stack) - 1)
         elif tag == "p":
             for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
@@ -122,6 +145,11 @@ def lines_of(page: str) -> list[Line]:
             skipped = False
         elif tag not in {"html", "body"} and any(NOT_MAIN.fullmatch(w) for w in names):
             skipped = True
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BOUNDS:
+            bounds.append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
         stack.append((tag, skipped, comments, inside or (main and not comments), link or tag == "a"))
     return lines
 

@@ -62,6 +62,24 @@ def test_line_lengths_decide_on_marked_pages_too():
     assert html_text.extract(f"<article><p>{long}</p></article><p>{'word ' * 30}</p>") == long
 
 
+@pytest.mark.parametrize("many", ["<table>" + "<tr><td>a<td>b" * 200 + "</table>", "<table>" + "<tr><th>a<td><b>b" * 200, "<dl>" + "<dt>a<dd>b" * 200 + "</dl>", "<div>" * 200, "<div><span>" * 200])
+def test_end_tags_are_found_at_any_depth(many):
+    long, after = " ".join(["word"] * 60), "<p>" + "after " * 25
+    for tag in ("aside", "nav", "form"):
+        assert html_text.extract(f"<{tag}>{many}</{tag}><p>{long}</p>") == long
+    assert html_text.extract(f"<article><p>{long}</p><aside>{many}</aside></article>{after}") == long
+
+
+def test_cells_rows_and_terms_end_with_the_next():
+    rows = "<tr><td class=ad>ad<td>cell<tr><td>" + "word " * 30
+    assert html_text.extract(f"<article><table>{rows}</table></article>").split("\n\n")[0].startswith(("cell", "word"))
+    inner = "<table><tr><td>a<table><tr><td>b</table>c<td>" + "word " * 30 + "</table>"
+    assert html_text.extract(f"<article>{inner}</article>").endswith("word")
+    long = " ".join(["word"] * 60)
+    assert html_text.extract(f"<dl><dt class=ad>x<dd>{long}<dt class=ad><b>y<dd>{long}</dl>") == f"{long}\n\n{long}"
+    assert html_text.extract(f"<ul><li class=ad><b>x<li>{long}</ul>") == long
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>", ""), ("plain text " * 20, ("plain text " * 20).strip()), ("<article>x</article>", "x"), ("<article><p>a < b &am", "a < b &am"), ("<article>a<!-- b", "a"), ("<article>a<script>b", "a"), ("<article><p title='>'>a</p></article><p", "a"), ("<article><p>a</article></p></div>", "a")])
 def test_odd_pages(page, text):
     assert html_text.extract(page) == text
