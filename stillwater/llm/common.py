@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,6 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again, and what it keeps is missing from the JVM beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back when a task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
 
@@ -27,6 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``cut``, and then read as no more partitions than its counted rows need: few rows make few files and tasks."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
+def forget(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files and checkpoints that nothing refers to any more: it notices when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; a null text counts as empty."""
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -54,7 +93,7 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for part in slices(batch, 1, most):
                 yield work(part)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
@@ -82,4 +121,4 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
             for part in slices(batch, at, 4_000_000):
                 yield part.filter(pa.array(work([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
