@@ -5,7 +5,8 @@ text outside links; lines in menus, headers, footers, sidebars, notices, adverts
 comments have length 0. Sums over sliding windows of lines rise at a surge point, where the main text
 begins, and fall to nothing at a dive point, where it ends; lines with text between them are kept. Where a page marks its
 article, the mark is a prior: text in links counts within it, a surge is half as high within it and twice as high outside,
-and the article's edge ends a text. A marked article without a surge point, too short for one, is taken whole.
+and the article's edge ends a text. A marked article, or a page without a mark, that is too
+short for any surge point is taken whole, as far as it is not skipped.
 
 Defined results: a null or empty page, or one without main text, gives an empty text and 0
 characters; repeated rows are read alike; an end tag finds its opening tag at any depth; an unclosed tag is dropped and an unclosed comment,
@@ -33,9 +34,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 KEEPS = {"article", "main"}
 #: No end tag of what is not a block reaches past them.
 WALLS = KEEPS | ASIDE
-#: Words that begin the class, id or role of what is not main text.
-NOT_MAIN = re.compile(r"(?!.*(?:with|has|no)[-_])(?:(?:ads?|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent\w*|notices?|notification\w*|alert\w*|sidebar\w*|sidebox|complementary|menus?|nav|navbar\w*|navigation|breadcrumbs?|footer\w*|header\w*|masthead|share\w*|social\w*|related\w*|newsletter\w*|subscri\w*|signup|login\w*|search\w*|popup\w*|modal\w*|toolbar\w*|widgets?|contentinfo|pagination|skip|disclaimer)(?:[-_]\w*)*|(?:\w+[-_])+(?:ads?|advert|sidebar|menu|nav|navbar|banner|notice|footer))", re.I)
-COMMENTS = re.compile(r"(?:comments?|replies|reply|respond|disqus\w*|discussion)(?:[-_]\w*)*|(?:\w+[-_])+comments?", re.I)
+#: What the parts of a page that are not main text are called by their class, id or role: one of these words, then only words
+#: for kinds of boxes. Other words after it ("share-of-market") make it a name of content.
+KIND = r"(?:[-_]?(?:bar|box|list|links?|buttons?|block|area|wrap(?:per)?|container|widgets?|menu|nav|top|bottom|left|right|main|inner|outer|section|panel|form|icons?|items?|title|header|footer|modal|popup|banner|overlay|slot|unit|media|signup|subscribe|[0-9]+))*"
+ASIDE_WORDS = (
+    "ads?|adv|advert(?:s|isements?|ising)?|banners?|sponsor(?:s|ed)?|promo(?:s|tions?)?|cookies?(?:[-_](?:policy|law|consent|notice))?|consent|notices?|notifications?|alerts?|sidebar|complementary|menus?|nav|navigation|"
+    "breadcrumbs?|footer|header|mast(?:head)?|share|sharing|social|related(?:[-_](?:posts?|articles?|stories|news|content|topics))?|newsletters?|subscri(?:be|ptions?)|sign-?up|login|search|popups?|modal|tool|widgets?|"
+    "contentinfo|pagination|skip(?:[-_]to[-_][a-z]+)?|disclaimer"
+)
+NOT_MAIN = re.compile(rf"(?!.*(?:with|has|no)[-_])(?:(?:{ASIDE_WORDS}){KIND}|(?:\w+[-_])+(?:ads?|advert|sidebar|menu|nav|navbar|banner|notice|footer))", re.I)
+COMMENTS = re.compile(rf"(?:comments?|replies|reply|respond|disqus(?:[-_]thread)?|discussion[-_](?:thread|board|list)){KIND}(?:[-_](?:thread|count|author|meta|body|reply|respond|feed|text|content))*|(?:\w+[-_])+comments?", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WINDOW, SURGE = 3, 86
 #: A marked article's surge is lower, and that of what is outside it higher, by this factor.
@@ -177,6 +185,8 @@ def main_blocks(page: str) -> list[str]:
             keep.append(i)
     if marked and not surged:
         keep = sorted({*keep, *(i for i, n in enumerate(length) if n and found[i][0].inside)})
+    elif not marked and not keep:
+        keep = [i for i, n in enumerate(length) if n]
     return [found[i][1] for i in keep]
 
 
