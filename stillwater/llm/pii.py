@@ -13,11 +13,14 @@ dropped; repeated rows are scanned alike; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +69,14 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-#: What proposes a span. Bounded repetition keeps the work linear in the text.
+#: What proposes a span, of any length. No match starts within a run that it could have begun with, and runs
+#: are possessive: the work is linear in the text.
 PROPOSE = {
-    "contact": re.compile(r"[A-Za-z0-9._-]{2,40} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{2,40}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,40}){1,4}"),
-    "number": re.compile(r"(?<![0-9A-Za-z.,+-])\(?[0-9]{1,6}\)?(?:[ ./-][0-9(][0-9)]{1,6}){2,5}(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{24,256}(?![A-Za-z0-9_+/=-])"),
+    "contact": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]++)+"),
+    "number": re.compile(r"(?<![0-9A-Za-z.,+-])(?:[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,}(?: [A-Z0-9]{1,3})?|\(?[0-9]++\)?(?:[ ./-][0-9(][0-9)]++){2,})(?![0-9A-Za-z])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"),
 }
+DIGIT = re.compile(r"[0-9]")
 #: The gazetteers.
 CUES = re.compile(r"phone|tel|call|fax|mobile|ssn|social|passport|iban|account|token|key|secret|passw|api|auth|mail|contact|write to", re.I)
 COUNTERCUES = re.compile(r"isbn|issn|doi|page|version|release|total|price|year|figure|fig\.|table|chapter|section|http|www", re.I)
@@ -124,18 +129,37 @@ def parts_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def proposed(text: str, taken: list[Span]) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and code of every proposed span that meets no fixed span and no earlier one."""
     found: list[tuple[str, int, int, int]] = []
-    held = sorted((a, b) for _, a, b in taken)
+    starts, ends = disjoint((a, b) for _, a, b in taken)
     for kind in ADDED:
         if kind == "contact" and not ("(at)" in text or "[at]" in text or "{at}" in text):
             continue
+        own = []
         for m in PROPOSE[kind].finditer(text):
             a, b = m.span()
-            if not any(a < y and x < b for x, y in held):
+            if kind == "secret" and not DIGIT.search(text, a, b):
+                continue
+            at = bisect.bisect_left(ends, a + 1)  # the first held span that ends after this one's start
+            if at == len(starts) or starts[at] >= b:
+                own.append((a, b))
                 found.append((kind, a, b, code_of(kind, m.group(), votes(text, a, b))))
-        held += [(a, b) for k, a, b, _ in found if k == kind]
+        if own:
+            starts, ends = disjoint([*zip(starts, ends, strict=True), *own])
     return found
 
 
+def disjoint(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, as ascending spans apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def reliabilities(vote: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: each pattern's probability of being personal data, and P(vote | class)."""
     start = np.array([[0.6, 0.1, 0.3], [0.6, 0.3, 0.1]])  # [class][abstain, yes, no]: labelers do better than chance
@@ -197,13 +221,25 @@ def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
     found = cut(map_texts(texts_of(docs, id_col, text_col), scan, f"doc_id {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, proposed array<struct<kind:string,start:bigint,end:bigint,code:bigint>>"))
     codes = found.select(F.explode("proposed.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").toPandas()  # at most as many as there are codes
     scores = classifier(codes["code"].to_numpy(np.int64), codes["n"].to_numpy(np.float64))
-    good = sorted(c for c, p in scores.items() if p >= threshold)
-    added = F.filter("proposed", lambda s: s["code"].isin(good) if good else F.lit(False))
-    return found.select("doc_id", "base", F.transform(added, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("added"))
+    good = docs.sparkSession.sparkContext.broadcast(np.array(sorted(c for c, p in scores.items() if p >= threshold), np.int64))  # of the codes, too
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The proposed spans of accepted codes."""
+        for part in batches:
+            column = part.column("proposed")
+            span, owner = column.flatten(), pc.list_parent_indices(column).to_numpy()
+            accepted = np.isin(span.field("code").to_numpy(zero_copy_only=False), good.value)
+            offsets = np.r_[0, np.cumsum(np.bincount(owner[accepted], minlength=len(part)))]
+            span = span.filter(pa.array(accepted))
+            added = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([span.field(c) for c in ("kind", "start", "end")], ["kind", "start", "end"]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("base"), added], names=["doc_id", "base", "added"])
+
+    spans = "array<struct<kind:string,start:bigint,end:bigint>>"
+    return found.mapInArrow(keep, f"doc_id {kind}, base {spans}, added {spans}")
 
 
 def report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, a count for each fixed kind, base_sha256, spans."""
+    """doc_id, a count for each fixed kind, base_sha256, spans, a count for each added kind."""
     found = find(docs, threshold)
     of_kind = lambda k: lambda s: s["kind"] == k
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -212,6 +248,7 @@ def report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         *(F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.concat("base", "added")).alias("spans"),
+        *(F.size(F.filter("added", of_kind(k))).cast("long").alias(f"n_{k}") for k in ADDED),
     )
 
 
