@@ -36,7 +36,10 @@ def sound_checksum(c: Column) -> Column:
 
 
 def validation(rows: DataFrame) -> DataFrame:
-    """path, is_valid, error, n_documents, n_products, status of every manifest; an unsound one is a row, not a failure."""
+    """path, is_valid, error, n_documents, n_products, status, source_error of every manifest; an unsound one is a row, not a failure.
+
+    ``source_error`` tells of a source that is no http(s) address; ``is_valid`` does not depend on it.
+    """
     files = F.coalesce("product_files", F.array().cast(f"array<{struct(PRODUCT)}>"))
     documents = F.coalesce("metadata_documents", F.array().cast(f"array<{struct(DOCUMENT)}>"))
     blank = lambda c: c.isNull() | (F.trim(c) == "")
@@ -47,11 +50,11 @@ def validation(rows: DataFrame) -> DataFrame:
         (~text.relative_path(F.col("local_destination")), "local_destination is not below the root"),
         (~sound_checksum(F.col("checksum")), "unsound checksum"),
         (F.exists(files, lambda p: bad_file(p) | ~sound_checksum(p["checksum"]) | F.coalesce(p["expected_size_bytes"] <= 0, F.lit(False))), "unsound product file"),
-        (F.exists(documents, bad_file), "unsound metadata document"),
+        (F.exists(documents, lambda d: bad_file(d) | ~F.coalesce(d["expected_max_bytes"], F.lit(labels.MOST_BYTES)).between(1, labels.MOST_BYTES)), "unsound metadata document"),
     )
     all_known = (F.size(files) > 0) & F.forall(files, lambda p: p["checksum"].isNotNull())
     status = datasets.manifest_status(F.col("version"), F.col("license"), F.col("checksum"), all_known)
-    return rows.select("path", error.isNull().alias("is_valid"), error.alias("error"), F.size(documents).alias("n_documents"), F.size(files).alias("n_products"), F.when(error.isNull(), status).alias("status"))
+    return rows.select("path", error.isNull().alias("is_valid"), error.alias("error"), F.size(documents).alias("n_documents"), F.size(files).alias("n_products"), F.when(error.isNull(), status).alias("status"), F.when(~F.coalesce(text.web_address(F.col("source")), F.lit(False)), "source is no http(s) address").alias("source_error"))
 
 
 def regions(spark: SparkSession, *paths: str) -> DataFrame:
@@ -78,7 +81,7 @@ def file_statuses(needed: DataFrame, files: DataFrame, parsed: DataFrame) -> Dat
     """Each needed file with what is there and what its label says; ``parsed`` is ``labels.parsed`` with paths below the root."""
     f = lambda n: F.element_at("fields", n)
     number = lambda n: f(n).try_cast("double")
-    names = ("minimum_latitude", "maximum_latitude", "westernmost_longitude", "easternmost_longitude", "map_scale", "lines", "line_samples")
+    names = ("minimum_latitude", "maximum_latitude", "westernmost_longitude", "easternmost_longitude", "map_scale", "lines", "line_samples", "array_offset_bytes")
     said = parsed.select(F.col("path").alias("label_path"), *(number(n).alias(n) for n in names), f("sample_type").alias("sample_type"), f("missing_constant").alias("missing_constant"), f("product_file_name").alias("labelled_file"), f("product_md5_checksum").alias("label_md5"), f("product_file_size_bytes").try_cast("long").alias("label_size"), F.lit(True).alias("has_label"))
     rows = needed.join(said, "label_path", "left")
     describes = F.lower(F.regexp_extract("path", "([^/]+)$", 1)) == F.lower("labelled_file")
@@ -112,8 +115,10 @@ def extraction(spark: SparkSession, statuses: DataFrame, root: str) -> tuple[Dat
     """Pixels (path, y, x, v) of what can be cut out, missing constants as NaN; and the files that cannot, with the reason."""
     good, bad = render.extracted(statuses, {c: F.col(c) for c in ("path", "presence", "checksum_status", "size_status", "label_status", "describes_product", "window_status", "sample_type")})
     out = None
-    for row in good.select("path", "sample_type", "line_samples", "row_start", "row_stop", "col_start", "col_stop", "missing_constant").collect():  # a region's few products
-        cut = raster.load(spark, f"{root}/{row['path']}", sample_type=row["sample_type"], line_samples=int(row["line_samples"]), **{k: row[k] for k in ("row_start", "row_stop", "col_start", "col_stop")})
+    for row in good.select("path", "sample_type", "lines", "line_samples", "array_offset_bytes", "row_start", "row_stop", "col_start", "col_stop", "missing_constant").collect():  # a region's few products
+        if not (0 <= row["row_start"] <= row["row_stop"] <= row["lines"] and 0 <= row["col_start"] <= row["col_stop"] <= row["line_samples"]):
+            raise ValueError(f"the window lies outside the labelled array of {row['path']}")
+        cut = raster.load(spark, f"{root}/{row['path']}", sample_type=row["sample_type"], line_samples=int(row["line_samples"]), offset=int(row["array_offset_bytes"] or 0), **{k: row[k] for k in ("row_start", "row_stop", "col_start", "col_stop")})
         cut = pixel.masked(cut, F.lit(row["missing_constant"])).withColumn("path", F.lit(row["path"]))
         out = cut if out is None else out.unionByName(cut)
     return out if out is not None else spark.createDataFrame([], "y int, x int, v double, path string"), bad

@@ -60,6 +60,23 @@ def test_labels_of_both_forms(spark, tmp_path):
     assert (rows["b.xml"]["lines"], rows["b.xml"]["line_samples"], rows["b.xml"]["sample_type"], rows["b.xml"]["product_file_name"]) == (7, 9, "SignedLSB2", "b.img")
 
 
+XML = """<?xml version="1.0"?><Product_Observational xmlns:c="http://x/c"><title> A tile </title><citation_desc>cited</citation_desc><description>not this</description><modification_date>2024-01-02</modification_date>
+<c:pixel_resolution_x unit="deg/pixel">0.004</c:pixel_resolution_x><c:pixel_scale_x unit="m/pixel"> 99.5 </c:pixel_scale_x><c:sample_bit_mask>2#1111111111111111</c:sample_bit_mask><data_type>Other</data_type>
+<Axis_Array><axis_name>Line</axis_name><elements>18</elements></Axis_Array><Axis_Array><axis_name>sample</axis_name><elements>27</elements></Axis_Array>%s</Product_Observational>"""
+ARRAY = "<Array_2D_Image><offset unit='byte'>%s</offset><Element_Array><data_type>%s</data_type></Element_Array><missing_constant>%s</missing_constant></Array_2D_Image>"
+
+
+def test_xml_labels_name_scale_bits_and_the_first_array(spark, tmp_path):
+    (tmp_path / "none.xml").write_text(XML % "")
+    (tmp_path / "two.xml").write_text(XML % (ARRAY % (512, "SignedLSB2", -32768) + ARRAY % (9, "Late", 0)))
+    rows = {os.path.basename(r["path"]): r for r in labels.summary(labels.parsed(labels.files(spark, str(tmp_path)))).collect()}
+    for r in rows.values():
+        assert (r["map_scale"], r["map_resolution"], r["lines"], r["line_samples"], r["sample_bits"]) == (99.5, 250.0, 18, 27, 16)
+        assert r["provenance"] == {"title": "A tile", "citation_description": "cited", "product_creation_time": "2024-01-02"}
+    assert (rows["none.xml"]["sample_type"], rows["none.xml"]["array_offset_bytes"], rows["none.xml"]["missing_constant"]) == ("Other", None, None)
+    assert (rows["two.xml"]["sample_type"], rows["two.xml"]["array_offset_bytes"], rows["two.xml"]["missing_constant"]) == ("SignedLSB2", 512, "-32768")
+
+
 def test_checksum_table_last_wins(spark, tmp_path):
     a, b = "a" * 32, "b" * 32
     (tmp_path / "t").write_text(f"{a}  ./k/x.bsp\nnonsense line here\n{b}  k/x.bsp\n")
