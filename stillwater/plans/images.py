@@ -199,6 +199,13 @@ def airy_blur(spark, sf_dir):
     return rounded(convolve.convolved(px, convolve.airy_kernel(spark, 2.0, 0.0, 3.0), ["vec_id"]), "v")
 
 
+@query(f"""WITH {PX}, {AIRY}, k AS (SELECT oy, ox, p / sum(p) OVER () AS w FROM p)
+SELECT a.vec_id, a.y, a.x, round(sum(w * b.v), 6) + 0.0 AS v FROM px a, k JOIN px b ON b.vec_id = a.vec_id AND b.y = {REFLECT.format(i='a.y + oy')} AND b.x = {REFLECT.format(i='a.x + ox')} GROUP BY a.vec_id, a.y, a.x""")
+def airy_blur_whole(spark, sf_dir):
+    """As ``airy_blur``, of every image."""
+    return rounded(convolve.convolved(frames(spark, sf_dir).drop("label"), convolve.airy_kernel(spark, 2.0, 0.0, 3.0), ["vec_id"]), "v")
+
+
 def dft_sql(name: str, source: str, keys: str, value: str) -> str:
     """CTEs of the transform of an 8x8 image table: name (keys, ky, kx, re, im)."""
     return f"""{name}1 AS (SELECT {keys}, y, kx, sum({value} * cos(-2 * pi() * ((x * kx) % 8) / 8)) AS a, sum({value} * sin(-2 * pi() * ((x * kx) % 8) / 8)) AS b FROM {source}, (SELECT unnest(range(0, 8)) AS kx) GROUP BY ALL),
@@ -490,6 +497,20 @@ def crater_field(spark, sf_dir):
     return rounded(synthetic.crater_image(spark, craters, 32, 32), "v", digits=5)
 
 
+@query("""WITH c AS (SELECT s_suppkey AS id, 31.0 * ((s_suppkey * 37) % 100) / 100 AS cx, 31.0 * ((s_suppkey * 53) % 100) / 100 AS cy, 3.0 + (s_suppkey % 4) AS rad FROM supplier),
+ g AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT unnest(range(0, 32)) AS y), (SELECT unnest(range(0, 32)) AS x)),
+ t AS (SELECT y, x, 0.45 + 0.22 * x / 31.0 + 0.08 * sin(y / 11.0) + sum(0.16 * exp(-power(sqrt(power(x - cx, 2) + power(y - cy, 2)) - rad, 2) / (2 * power(0.12 * rad, 2))) - 0.12 * exp(-(power(x - cx, 2) + power(y - cy, 2)) / (2 * power(0.62 * rad, 2)))
+  + 0.035 * exp(-power(sqrt(power(x - cx, 2) + power(y - cy, 2)) - rad, 2) / (2 * power(0.12 * rad, 2))) * greatest(least((-0.7 * (x - cx) - 0.3 * (y - cy)) / greatest(rad, 1.0), 1.0), -1.0)) AS v FROM g, c GROUP BY y, x)
+SELECT y, x, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 5) + 0.0 AS v FROM t""")
+def crater_field_whole(spark, sf_dir):
+    """As ``crater_field``, with every supplier as a crater."""
+    from stillwater.sources import synthetic
+
+    s = F.col("s_suppkey")
+    craters = table(spark, sf_dir, "supplier").select((31.0 * ((s * 37) % 100) / 100).alias("cx"), (31.0 * ((s * 53) % 100) / 100).alias("cy"), (3.0 + s % 4).alias("radius"))
+    return rounded(synthetic.crater_image(spark, craters, 32, 32), "v", digits=5)
+
+
 @query()
 def simulated_frames(spark, sf_dir):
     """Seeded simulation of one case a label: degraded frames of its mean stack, enlarged."""

@@ -80,6 +80,14 @@ def uncertainty_rollup(spark, sf_dir):
     return rank.uncertainty(e, ["user_id"]).select("user_id", joined(F.col("factors")).alias("factors"), "risk_level", "n_factors")
 
 
+@query("""WITH f AS (SELECT user_id, event_type AS factor, CASE event_type WHEN 'error' THEN 'high' WHEN 'view' THEN 'low' WHEN 'click' THEN 'low' ELSE 'unheard of' END AS level FROM events)
+SELECT user_id, string_agg(DISTINCT factor, ',' ORDER BY factor) AS factors, ['low', 'medium', 'high'][max(CASE level WHEN 'low' THEN 1 WHEN 'high' THEN 3 ELSE 2 END)] AS risk_level, count(*) AS n_factors FROM f GROUP BY user_id""")
+def uncertainty_rollup_whole(spark, sf_dir):
+    """As ``uncertainty_rollup``, over every event."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("factor"), F.when(F.col("event_type") == "error", "high").when(F.col("event_type").isin("view", "click"), "low").otherwise("unheard of").alias("level"))
+    return rank.uncertainty(e, ["user_id"]).select("user_id", joined(F.col("factors")).alias("factors"), "risk_level", "n_factors")
+
+
 NAMES = ("not_spice_backed", "no_illumination_model", "not_earth_view_projected", "something_else", "local_linear_orthographic_projection")
 METHODS = ("none", "global_similarity_grid_search", "by_hand", "integer_phase_correlation_translation")
 
@@ -179,6 +187,14 @@ def json_safe(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(k < 2000).select(k, text.json_number(v).alias("json"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '\"inf\"' WHEN 1 THEN '\"nan\"' WHEN 2 THEN '\"-inf\"' ELSE CAST(CAST(o_orderkey AS DOUBLE) / 2 AS VARCHAR) END AS json FROM orders")
+def json_safe_whole(spark, sf_dir):
+    """As ``json_safe``, for every order."""
+    k = F.col("o_orderkey")
+    v = F.when(k % 4 == 0, F.lit(float("inf"))).when(k % 4 == 1, F.lit(float("nan"))).when(k % 4 == 2, F.lit(float("-inf"))).otherwise(k.cast("double") / 2)
+    return table(spark, sf_dir, "orders").select(k, text.json_number(v).alias("json"))
+
+
 @query("SELECT DISTINCT o_orderpriority, CAST(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS BIGINT) AS n_unknown, CAST(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS BIGINT) AS n_missing FROM orders")
 def field_differences(spark, sf_dir):
     """Fields of a record beyond the known ones, and known ones it lacks."""
