@@ -108,6 +108,53 @@ def test_star_contraction(spark):
     assert got == {**{i: 1 for i in range(2, 41)}, 200: 100, 300: 100}
 
 
+@pytest.mark.parametrize("forest", [3, 7, 1000])
+def test_components_of_links_in_many_partitions(spark, forest):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))]
+    root = list(range(60))
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in roots(spark.createDataFrame(edges, "a long, b long"), forest=forest).collect()}
+    assert got == {i: r for i, r in enumerate(root) if i != r}
+    assert roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("room", [1, 50, 10**6])
+def test_shared_keys_are_tallied_whole_whatever_the_room(room):
+    rng = np.random.default_rng(7)
+    rows = sorted({(int(k), int(w)) for k, w in rng.integers(0, 25, (300, 2))})
+    key, who = (np.array(x) for x in zip(*rows))
+    size_of = rng.integers(30, 40, 25)
+    code, n = jaccard.shared_keys(key.astype(np.uint64), who, np.zeros(len(key), np.uint8), size_of, 25, room)
+    want = collections.Counter((a, b) for k, a in rows for j, b in rows if j == k and a < b and 4 * min(size_of[a], size_of[b]) >= 3 * max(size_of[a], size_of[b]))
+    assert {(c >> 32, c & 0xFFFFFFFF): m for c, m in zip(code.tolist(), n.tolist())} == want
+
+
+def test_a_family_of_distant_copies_equals_brute_force(spark):
+    """Many texts of one base, most of them apart by a little more than the threshold: all steps of the second pass have work."""
+    rng = np.random.default_rng(8)
+    base, rows = cases.words(77, 150).split(), []
+    for i in range(160):
+        w = list(base)
+        for at in rng.choice(len(w), int(rng.integers(2, 9)), replace=False):
+            w[at] = f"y{rng.integers(12)}"
+        rows.append((i, " ".join(w)))
+    for most in (2, 32):
+        got = jaccard.groups(cases.documents(spark, rows), most=most).collect()
+        assert sorted((key(r["doc_id"]), r["n_shingles"], key(r["component_id"])) for r in got) == brute_components(rows)
+
+
+def test_differences_are_never_overrated():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (set(rng.choice(40, rng.integers(5, 30), replace=False).tolist()) for _ in range(2))
+        rare = set(rng.choice(40, 15, replace=False).tolist())
+        least = max(jaccard.apart(len(a), len(b), len(a & rare), len(b & rare), len(a & b & rare)))
+        assert least <= len(a ^ b)
+
+
 def brute_repeats(rows, length=100):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, key(r[0]), r[1].encode())):

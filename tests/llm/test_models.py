@@ -1,4 +1,5 @@
 import os
+import time
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cases
-from stillwater.llm import labelled, neighbours, pii, quality, toxicity
+from stillwater.llm import labelled, neighbours, pii, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -53,6 +54,81 @@ def test_spans_are_added_and_none_taken(spark):
     assert pii.report(cases.documents(spark)).count() == len(cases.TEXTS)
 
 
+@pytest.mark.parametrize("span,kind", [("AKIA" + "ABCDEFGH12345678", "secret"), ("ab1" * 150, "secret"), ("DE89 3704 0044 0532 0130 00", "number"), ("GB29 NWBK 6016 1331 9268 19", "number"), ("030 12 34 56 78 90 12 34", "number"), ("someone.with.a.very.long.name.of.more.than.forty.letters (at) example (dot) org", "contact")])
+def test_spans_of_any_length_are_proposed_whole(span, kind):
+    text = f"write to: {span} now"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.proposed(text, [])] == [(kind, span)]
+
+
+def test_proposals_keep_clear_of_fixed_spans_and_stay_linear():
+    assert pii.disjoint([(5, 9), (0, 3), (2, 4), (9, 12)]) == ([0, 5, 9], [4, 9, 12])
+    text = "mail a@b.co and 123 45 67 89 and key abcdefghij0123456789abcd " * 20_000
+    began = time.time()
+    base = pii.base_spans(text)
+    more = pii.proposed(text, base)
+    assert len(base) == 20_000 and len(more) == 40_000 and time.time() - began < 15
+    held = sorted((a, b) for _, a, b, *_ in [*base, *more])
+    assert all(b <= c for (_, b), (c, _) in zip(held, held[1:], strict=False))
+    for run in ("a" * 400_000, "1 " * 200_000, "A1/" * 150_000, "a.b-" * 100_000):
+        began = time.time()
+        pii.proposed(run, pii.base_spans(run))
+        assert time.time() - began < 5
+
+
+def test_letters_of_every_script_have_symbols():
+    fold = lambda t: toxicity.folded([t])[0][1 : 1 + len(t)].tolist()
+    assert all(x > 0 for x in fold("идиотκακός笨蛋")) and fold("ИДИОТ") == fold("идиот") and fold("ｒｏｔｚ") == fold("rotz") and fold("rōtz") == fold("rotz")
+    assert fold("“—”") == [0, 0, 0] and toxicity.latin("ro\u200btz") == b"rotz"
+
+
+def test_insults_of_another_script_are_learnt():
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("абвгдежзиклмнопрст"), 6))
+    rows = [(" ".join([*(word() for _ in range(20)), *(["дурачина"] if i % 2 else []), word()]), i % 2) for i in range(200)]
+    model = toxicity.train(rows, [0.5, 0.5])
+    scores = model.score([f"{word()} {word()} дурачина {word()}", f"{word()} {word()} {word()}"])
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_queries_return_the_columns_of_their_contract(spark):
+    """Types, held-out rows and the rule for ``predicted`` of the thin queries, on the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    score = [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    want = {
+        "op1_pii": [("doc_id", "bigint"), ("n_email", "bigint"), ("n_ip", "bigint"), ("n_card", "bigint"), ("n_phone", "bigint"), ("base_sha256", "string"), ("spans", "string")],
+        "op2_quality": score,
+        "op4_html_text": [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")],
+        "op10_toxicity": score,
+    }
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for name, columns in want.items():
+        df = queries.QUERIES[name](spark, sf)
+        assert df.dtypes[: len(columns)] == columns
+        rows = df.collect()
+        if columns is score:
+            n, left = (5, 0) if name == "op2_quality" else (4, 2)
+            assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == left) and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+        if name == "op1_pii":
+            for r in rows:
+                base = pii.base_spans(texts[r["doc_id"]])
+                assert r["base_sha256"] == pii.sha_of(base) and r["spans"].startswith(pii.spelled(base))
+                assert r["n_email"] == sum(k == "email" for k, _, _ in base)
+        if "doc_id" in df.columns:
+            assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+
+
+def test_toxic_documents_held_out_are_caught_and_clean_ones_left(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    scores = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    caught = scores[scores.toxic == 1].predicted.mean()
+    right = scores[scores.predicted == 1].toxic.mean()
+    assert caught > 0.7 and right > 0.75
+
+
 def test_remainder_is_of_the_identifier_as_text(spark):
     rows = spark.range(50).select("id", labelled.remainder("id", 5).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)

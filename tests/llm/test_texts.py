@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,31 @@ def test_repeated_symbols_merge_from_the_left():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [TOKENIZER.encode(w.decode()).ids for w in words]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "中文字汉语", "aA1"])
+def test_long_words_equal_the_library_in_linear_time(letters):
+    rng = np.random.default_rng(5)
+    for n in (bpe.LONG - 1, bpe.LONG + 1, 3_000, 60_000):
+        word = "".join(rng.choice(list(letters), n))
+        assert np.frombuffer(ENCODER.encode(["x " + word])[0], "<u4").tolist() == TOKENIZER.encode("x " + word, add_special_tokens=False).ids
+    began = time.time()
+    ENCODER.encode(["".join(rng.choice(list(letters), 400_000))])
+    assert time.time() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aab 'thein\n1é中", min_size=1, max_size=80))
+def test_rounds_of_one_word_equal_rounds_of_many(text):
+    raw = text.encode()
+    assert bpe.merge_long(raw, ENCODER.v) == bpe.merge_words([raw], ENCODER.v)[0]
+
+
+def test_a_full_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    encoder = bpe.Encoder()
+    texts = [cases.words(i % 7, 30) for i in range(40)]
+    assert [encoder.encode([t])[0] for t in texts] == [ENCODER.encode([t])[0] for t in texts] and len(encoder.memo) < 60
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body class="has-sidebar"><nav><a href="/">menu</a></nav>
 <div class="cookie-notice">A long notice about cookies that goes on and on so that it looks like a paragraph of the text itself, which it is not.</div>
 <div class="content-with-sidebar">%s</div><aside>%s</aside><div id="comments"><div class="comment"><p>%s</p></div></div><form><p>Your name <input> and address, please, and more</p></form><footer>&copy; me</footer></body></html>"""
@@ -85,6 +111,23 @@ def test_odd_pages(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["share-of-market", "search-engines-history", "social-science", "related-work", "discussion", "header-compression"])
+def test_names_of_content_are_kept(name):
+    long = " ".join(["word"] * 60)
+    assert html_text.extract(f'<article><div class="{name}"><p>{long}</p></div></article>') == long
+
+
+@pytest.mark.parametrize("name", ["ad", "share-buttons", "social-links", "search-form", "related-posts", "cookie-banner", "site-footer", "comment-list", "user-comments"])
+def test_names_of_boxes_are_not(name):
+    long = " ".join(["word"] * 60)
+    assert html_text.extract(f'<article><p>{long}</p><div class="{name}"><p>{long} no</p></div></article>') == long
+
+
+def test_short_pages_without_a_mark_are_kept():
+    assert html_text.extract("<nav>menu</nav><p>One short paragraph.</p><footer>f</footer>") == "One short paragraph."
+    assert html_text.extract(f"<nav>{'<span>' * 70}menu</nav><p>short</p>") == "short"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<article>x &amp; y</article>", 5), (2, None, None, 6), (2, None, None, 6), (None, "v", "<p>" * 5000, 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
