@@ -6,7 +6,9 @@ finds each word's lowest rank, and merges all pairs of that rank in all words at
 without a known pair left leave the array. A merged symbol's own pairs rank after the pair that
 made it, so merging all pairs of a word's lowest rank together equals merging them one by one.
 
-Words seen before in a task are kept in a bounded memo. Defined results: a null or empty text has
+A word over ``LONG`` bytes goes through rounds of its own, which look only at the pairs that the last merge changed:
+its work grows with its length, not with the length times the ranks. Short words seen before in a
+task are kept in a memo of two generations, each of at most ``MEMO`` words and those of one batch. Defined results: a null or empty text has
 no ids and decodes to an empty text; special tokens spelled out in a text become their ids;
 repeated rows are encoded alike; an empty table gives an empty table.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 
@@ -31,7 +34,8 @@ WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \n\t\r0-9{LATIN}]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 NOT_LATIN = re.compile(rf"[^\x20-\x7e\n\t\r{LATIN}]")
-MEMO = 400_000
+MEMO = 100_000
+LONG = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,6 +80,63 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path)
 
 
+def ranks_of(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The rank of each pair of symbols, by binary search; the number of merges for an unknown pair."""
+    key = left << 32 | right
+    at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+    return np.where(v.keys[at] == key, v.ranks[at], np.int32(len(v.made)))
+
+
+def every_second(where: np.ndarray, chained: np.ndarray) -> np.ndarray:
+    """Of ascending places, every second one of each run in which ``chained`` links a place to the one before."""
+    run = np.flatnonzero(np.r_[True, ~chained])
+    nth = np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))
+    return where[nth % 2 == 0]
+
+
+def merge_long(word: bytes, v: Vocabulary) -> bytes:
+    """The ids of one word: all pairs of the lowest rank a round, then new ranks for the pairs that they changed."""
+    n, none = len(word), len(v.made)
+    sym = v.byte_id[np.frombuffer(word, np.uint8)]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank = np.full(n, none, np.int32)
+    rank[:-1] = ranks_of(sym[:-1], sym[1:], v)
+    places: dict[int, list[int]] = {}
+    for i, r in enumerate(rank.tolist()):
+        if r < none:
+            places.setdefault(r, []).append(i)
+    queue = list(places)
+    heapq.heapify(queue)
+    while queue:
+        r = heapq.heappop(queue)
+        at = np.unique(np.array(places.pop(r), np.int64))
+        at = at[rank[at] == r]
+        if not len(at):
+            continue
+        at = every_second(at, at[1:] == after[at[:-1]])
+        gone = after[at]
+        sym[at] = v.made[r]
+        rank[gone] = none
+        after[at] = after[gone]
+        before[after[at][after[at] < n]] = at[after[at] < n]
+        changed = np.unique(np.concatenate([at, before[at]]))
+        changed = changed[changed >= 0]
+        follows = after[changed]
+        rank[changed] = np.where(follows < n, ranks_of(sym[changed], sym[np.minimum(follows, n - 1)], v), none)
+        for i, q in zip(changed.tolist(), rank[changed].tolist(), strict=True):
+            if q < none:
+                if q not in places:
+                    places[q] = []
+                    heapq.heappush(queue, q)
+                places[q].append(i)
+    kept, i = [], 0
+    follow = after.tolist()
+    while i < n:
+        kept.append(i)
+        i = follow[i]
+    return sym[kept].astype("<u4").tobytes()
+
+
 def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit integers."""
     if not words:
@@ -85,10 +146,8 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
     done_sym, done_word = [], []
     while len(sym):
-        key = sym[:-1] << 32 | sym[1:]
-        at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
         rank = np.full(len(sym), none, np.int32)
-        rank[:-1] = np.where((v.keys[at] == key) & (word[:-1] == word[1:]), v.ranks[at], none)
+        rank[:-1] = np.where(word[:-1] == word[1:], ranks_of(sym[:-1], sym[1:], v), none)
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         lengths = np.diff(np.r_[starts, len(word)])
         least = np.minimum.reduceat(rank, starts)
@@ -104,9 +163,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
         hit = rank == np.repeat(least, lengths)
         where = np.flatnonzero(hit)
         # pairs of one rank overlap only in runs of a single symbol: every second one is merged
-        run = np.flatnonzero(np.r_[True, np.diff(where) != 1])
-        nth = np.arange(len(where)) - np.repeat(run, np.diff(np.r_[run, len(where)]))
-        where = where[nth % 2 == 0]
+        where = every_second(where, np.diff(where) == 1)
         sym[where] = v.made[rank[where]]
         keep = np.ones(len(sym), bool)
         keep[where + 1] = False
@@ -128,10 +185,12 @@ class Encoder:
     def __init__(self, path: str | None = None):
         self.v = vocabulary(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.special = {w: np.array([i], "<u4").tobytes() for w, i in self.v.special.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        special = {w: np.array([i], "<u4").tobytes() for w, i in self.v.special.items()}
+        special = self.special
         cut: list[list[str]] = []
         for text in texts:
             if self.v.splitter and any(w in text for w in special):
@@ -139,11 +198,22 @@ class Encoder:
             else:
                 cut.append(cut_words(text))
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         memo.update(special)
-        new = list({w for words in cut for w in words if w not in memo})
-        memo.update(zip(new, merge_words([w.encode() for w in new], self.v), strict=True))
+        new, long = [], {}
+        for w in {w for words in cut for w in words}:
+            if w in memo:
+                continue
+            if w in older:
+                memo[w] = older[w]
+            elif len(raw := w.encode("utf-8", "replace")) > LONG:
+                long[w] = merge_long(raw, self.v)
+            else:
+                new.append((w, raw))
+        memo.update(zip((w for w, _ in new), merge_words([raw for _, raw in new], self.v), strict=True))
+        if long:
+            return [b"".join([long.get(w) or memo[w] for w in words]) for words in cut]
         return [b"".join([memo[w] for w in words]) for words in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -165,7 +235,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
         return work
 
-    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, ids array<int>, decoded string", 4_000_000)
+    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, ids array<int>, decoded string", 1_000_000)
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -191,4 +261,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
         return work
 
-    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, 4_000_000)
+    return map_texts(texts_of(docs, id_col, text_col), make, f"doc_id {id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, 1_000_000)
