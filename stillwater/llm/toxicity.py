@@ -11,6 +11,8 @@ The decision is linear in k_m(x), and k_m(x) in x's subsequences, so that scorin
 subsequence of a text up in one table of 2^20 weights and takes the largest sum over the windows of the whole text;
 a logistic fit on documents turns it into a probability.
 
+Characters beyond Latin-1 have symbols as well (``Spelling``): no letter of any script is lost.
+
 Defined results: a null or empty text has no subsequence and is scored like one without any
 known subsequence; without labels of both classes every score is the labels' share of 1 (0.5
 without labels); repeated rows are scored alike; an empty table gives an empty table.
@@ -54,9 +56,43 @@ def symbols() -> np.ndarray:
 SYMBOLS = symbols()
 
 
+class Spelling(dict):
+    """For ``str.translate``: a Latin-1 character with the symbol of any other one, made when first met.
+
+    A letter with a Latin base, also full-width or with marks, has the symbol of its base; letters of other
+    scripts are dealt out over all symbols, alike in upper and lower case; marks and invisible characters go; others are blanks.
+    """
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        if code < 256:
+            made: str | None = c
+        elif unicodedata.category(c) in {"Mn", "Me", "Cf"}:
+            made = None
+        elif not c.isalnum():
+            made = " "
+        else:
+            base = unicodedata.normalize("NFKD", c.casefold())[:1]
+            made = base if base and ord(base) < 256 else DEALT[ord(base or c) * 2654435761 % 2**32 % 31]
+        self[code] = made
+        return made
+
+
+#: A character of each symbol but the blank.
+DEALT = "abcdefghijklmnopqrstuvwxyzáéíóñ"
+SPELLING = Spelling()
+
+
+def latin(text: str) -> bytes:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(SPELLING).encode("latin-1", "replace")
+
+
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts, a blank before and ``PAD`` blanks after each, and where each text begins."""
-    raw = [b" " + t.encode("latin-1", "replace") for t in texts]
+    raw = [b" " + latin(t) for t in texts]
     starts = np.cumsum([0, *(len(r) + PAD for r in raw)])[:-1]
     joined = (b"\0" * PAD).join([*raw, b""])
     return SYMBOLS[np.frombuffer(joined, np.uint8)], starts
