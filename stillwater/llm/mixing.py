@@ -55,7 +55,12 @@ def target_share(cells: DataFrame, dim: str, given: dict[str, float] | None, tem
     else:
         share = F.pow(F.col("n").cast("double"), F.lit(temper))
     raw = totals.filter("n > 0").select(f"__{dim}", share.alias("raw"))
-    return raw.select(f"__{dim}", (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(1)))).alias(f"t_{dim}"))
+    return raw.select(f"__{dim}", (F.col("raw") / whole(raw, F.sum("raw"))).alias(f"t_{dim}"))
+
+
+def whole(rows: DataFrame, total: Column) -> Column:
+    """An aggregate of all rows, one number, as a constant."""
+    return F.lit(rows.agg(total).first()[0]).cast("double")
 
 
 def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, rounds: int = 24, tolerance: float = 1e-9) -> DataFrame:
@@ -69,7 +74,11 @@ def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
     fit = cells.filter("tokens > 0")
     for d in DIMS:
         fit = fit.join(target_share(cells, d, (targets or {}).get(d), temper), f"__{d}")
-    fit = cut(fit.withColumn("w", F.col("tokens").cast("double") / F.sum("tokens").over(Window.partitionBy(F.lit(1)))).coalesce(1))
+    fit = cut(fit)
+    if fit.count() <= BROADCAST_CELLS:
+        fit = fit.coalesce(1)  # few rows
+    everything = whole(fit, F.sum("tokens"))
+    fit = fit.withColumn("w", F.col("tokens").cast("double") / everything)
     share = {d: F.sum("w").over(Window.partitionBy(f"__{d}")) for d in DIMS}
     for i in range(rounds):
         for d in DIMS:
@@ -79,10 +88,8 @@ def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
             off = fit.select(F.greatest(*(F.abs(share[d] - F.col(f"t_{d}")) for d in DIMS)).alias("off")).agg(F.max("off")).first()[0]
             if off is None or off < tolerance:
                 break
-    everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     weight = fit.select(*keys, "tokens", (F.col("w") * everything / F.col("tokens")).alias("weight"))
-    most = F.max("weight").over(Window.partitionBy(F.lit(1)))
-    return weight.select(*keys, "tokens", "weight", (F.col("weight") / most).alias("probability"))
+    return weight.select(*keys, "tokens", "weight", (F.col("weight") / whole(weight, F.max("weight"))).alias("probability"))
 
 
 def uniform(key: Column, seed: int) -> Column:
