@@ -45,11 +45,13 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests) one is made here.
+    ``spark.checkpoint.dir`` names that folder; only where it is unset, on a local master (tests), one is made here.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stillwater-checkpoint-"))
     return df.checkpoint(eager=True)
 
