@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.operators import gather, pixel, rank
+from stillwater.operators import gather, pixel, rank, spectral
 from stillwater.plans import evaluate, study
 from stillwater.sources import cases, images, reports, synthetic
 
@@ -23,6 +24,8 @@ def simulate(a: argparse.Namespace) -> int:
     spark = session()
     config = synthetic.Simulation.from_record(reports.read_json(a.config)) if a.config else synthetic.Simulation()
     config = study.dataclasses.replace(config, **{k: v for k, v in (("frame_count", a.frames), ("random_seed", a.seed), ("noise_sigma", a.noise), ("downsample", a.downsample)) if v is not None})
+    if a.warp is not None:
+        config = study.dataclasses.replace(config, warp_scales=tuple(study.dataclasses.replace(x, amplitude_px=x.amplitude_px * a.warp) for x in config.warp_scales))
     config.validate()
     if a.truth:
         scene = images.pixels(images.load(spark, a.truth)).drop("path")
@@ -104,9 +107,25 @@ def diagnostics(a: argparse.Namespace) -> int:
     spark = session()
     truth, made = cases.truth(spark, a.case, "latent"), spark.read.parquet(a.result)
     keys = ["case_id", "algorithm"]
-    maps = {"residual": pixel.residual(truth, made, keys), "edge": pixel.edge_residual(pixel.paired(truth, made, keys), keys)}
+    shared = [k for k in keys if k in truth.columns]
+    high = pixel.paired(spectral.high_pass(truth, shared), spectral.high_pass(made, keys), keys)
+    maps = {"truth": truth, "reconstruction": made, "residual": pixel.residual(truth, made, keys), "edge": pixel.edge_residual(pixel.paired(truth, made, keys), keys), "false_detail": spectral.false_detail_map(high, keys)}
+    first = cases.frames(spark, a.case, frame=1)
+    extent = lambda df: df.agg(F.max("y"), F.max("x")).first()
+    if tuple(extent(first)) == tuple(extent(made)):  # frames that the sensor has not made smaller
+        maps["blink"] = first.select("case_id", F.lit("degraded").alias("algorithm"), "y", "x", "v").unionByName(made.select(*keys, "y", "x", "v"))
     for name, df in maps.items():
-        df.select(*keys, "y", "x", "v").write.mode("overwrite").parquet(f"{a.out}/{name}")
+        df.select(*(k for k in keys if k in df.columns), "y", "x", "v").write.mode("overwrite").parquet(f"{a.out}/{name}")
+    curve = spectral.radial_curve(truth, made, keys, a.bins)
+    curve.orderBy(*keys, "bin").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.out}/frequency_recovery")  # a row a bin
+    if os.path.isdir(f"{a.case}/truth/warp"):
+        far = F.hypot("u", "v")
+        stats = [f(far).alias(n) for n, f in (("mean_px", F.avg), ("max_px", F.max), ("rms_px", lambda c: F.sqrt(F.avg(c * c))))]
+        warps = {"combined": cases.truth(spark, a.case, "warp")}
+        if os.path.isdir(f"{a.case}/truth/component"):
+            warps["components"] = cases.truth(spark, a.case, "component")
+        by = {"combined": ["case_id"], "components": ["case_id", "component"]}
+        reports.write_json({n: [r.asDict() for r in df.groupBy(*by[n]).agg(*stats).orderBy(*by[n]).collect()] for n, df in warps.items()}, f"{a.out}/warp_summary.json")
     return 0
 
 
@@ -184,6 +203,8 @@ def fetch_products(a: argparse.Namespace) -> int:
     from stillwater.sources import fetch
 
     plan = [r for r in reports.read_json(a.plan) if r["kind"] == "product"]
+    if a.names:
+        plan = fetch.named([{"name": os.path.basename(r["destination"]), **r} for r in plan], a.names)
     labels_ = [r for r in reports.read_json(a.plan) if r["kind"] == "label"]
     for r in labels_:
         fetch.text(r["url"], fetch.target(a.root, r["destination"]))
@@ -191,6 +212,43 @@ def fetch_products(a: argparse.Namespace) -> int:
     return 0
 
 
+def declared(a: argparse.Namespace, column: str) -> list[dict]:
+    """The entries of sound manifests' lists; an unsound manifest fails."""
+    from stillwater.plans import products
+
+    rows = products.manifests(session(), *a.manifests)
+    bad = products.validation(rows).filter("NOT is_valid OR source_error IS NOT NULL").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['error'] or bad['source_error']}")
+    return [x.asDict() for r in rows.orderBy("path").select(column).collect() for x in r[0] or []]
+
+
+def fetch_metadata(a: argparse.Namespace) -> int:
+    from stillwater.sources import fetch
+
+    fetch.documents(declared(a, "metadata_documents"), a.root)
+    return 0
+
+
+def fetch_labels(a: argparse.Namespace) -> int:
+    from stillwater.sources import fetch
+
+    fetch.product_labels(declared(a, "product_files"), a.root)
+    return 0
+
+
+def configured_study(a: argparse.Namespace) -> int:
+    spark = session()
+    reference = images.pixels(images.load(spark, a.reference)).drop("path") if a.reference else None
+    study.configured(spark, reports.read_json(a.config), a.case, a.out, reference, bins=a.bins).write.mode("overwrite").parquet(f"{a.out}/reports")
+    return 0
+
+
+def import_result(a: argparse.Namespace) -> int:
+    study.import_result(session(), a.result, a.out, a.name, reports.read_json(a.source) if a.source else None)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stillwater")
     sub = p.add_subparsers(required=True)
@@ -204,12 +262,16 @@ def parser() -> argparse.ArgumentParser:
     out, case, result = (["--out"], {"required": True}), (["--case"], {"required": True}), (["--result"], {"required": True})
     number = lambda name, kind=int: ([f"--{name}"], {"type": kind})
     name = (["--case-id"], {"default": "case"})
-    command("simulate", simulate, out, name, (["--config"], {}), (["--truth"], {}), (["--size"], {"type": int, "default": 256}), number("frames"), number("seed"), number("downsample"), number("noise", float))
+    command("simulate", simulate, out, name, (["--config"], {}), (["--truth"], {}), (["--size"], {"type": int, "default": 256}), number("frames"), number("seed"), number("downsample"), number("noise", float), number("warp", float))
     command("import-observation", import_observation, out, name, (["frames"], {"nargs": "+"}))
     command("stack", stack, case, out, (["--method"], {"default": "mean_stack", "choices": [m for m in study.BUILTIN if m != "oracle_aligned_stack"]}), (["--block"], {"type": int, "default": 32}))
     command("run-command", run_command, case, out, (["command"], {"nargs": "+"}))
     command("evaluate", evaluated, case, result, out, (["--bins"], {"type": int, "default": 32}))
-    command("diagnostics", diagnostics, case, result, out)
+    command("diagnostics", diagnostics, case, result, out, (["--bins"], {"type": int, "default": 32}))
+    command("study", configured_study, case, out, (["--config"], {"required": True}), (["--reference"], {}), (["--bins"], {"type": int, "default": 32}))
+    command("import-result", import_result, result, out, (["--name"], {"required": True}), (["--source"], {}))
+    command("fetch-metadata", fetch_metadata, (["--root"], {"required": True}), (["manifests"], {"nargs": "+"}))
+    command("fetch-labels", fetch_labels, (["--root"], {"required": True}), (["manifests"], {"nargs": "+"}))
     command("report", report, out, (["metrics"], {}))
     command("compare", compare, out, (["--format"], {"default": "markdown", "choices": ["markdown", "json"]}), (["metrics"], {"nargs": "+"}))
     command("synthetic-sweep", sweep, out, (["--config"], {}))
@@ -222,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     command("roi-download-plan", roi_download_plan, out, *roi)
     command("extract-roi", extract_roi, out, *roi)
     command("reproject-roi", reproject_roi, out, (["--source"], {"required": True}), *((([f"--{n}"], {"type": float, "required": True})) for n in ("width-km", "height-km", "m-per-px")))
-    command("fetch-products", fetch_products, (["plan"], {}), (["--root"], {"required": True}), (["--max-total-bytes"], {"type": int, "required": True}))
+    command("fetch-products", fetch_products, (["plan"], {}), (["--root"], {"required": True}), (["--max-total-bytes"], {"type": int, "required": True}), (["--name"], {"action": "append", "dest": "names"}))
     command("tool-readiness", tool_readiness, (["config"], {}))
     return p
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.operators import estimate, pixel, rank, spectral
@@ -66,8 +67,35 @@ def registered(reference: DataFrame, images: DataFrame, keys: Keys, method: str
     raise ValueError(f"unknown registration {method}")
 
 
-def against_reference(reference: DataFrame, images: DataFrame, keys: Keys, registration: str = "none", photometry: str = "none", limitations: Sequence[str] = (), grid: dict | None = None, **options) -> DataFrame:
-    """As ``against_truth`` after registration and a photometric fit, with the uncertainty that both and the reference bring."""
+#: What the registration and the photometric fit that were asked for are called as sources of uncertainty.
+REGISTRATION_SOURCES = {
+    "none": "geometric_registration_not_applied",
+    "global_similarity_grid_search": "global_similarity_registration",
+    "global_affine_grid_search": "global_affine_registration",
+    "integer_phase_correlation_translation": "global_translation_registration",
+}
+#: What a reference's record says of how it was made.
+GENERATION = ("role", "source", "output", "method", "psf_model", "reference_resolution_m_per_px", "earth_moon_distance_m", "diffraction_sigma_reference_px")
+FACTOR = "STRUCT<source: STRING, level: STRING, description: STRING, candidate_count: INT>"
+
+
+def reference_row(record: dict | None, path: str) -> dict:
+    """Of the references that a report lists the one with this output, or else the only one; empty if neither is there."""
+    listed = (record or {}).get("references")
+    rows = [r for r in listed if isinstance(r, dict)] if isinstance(listed, list) else []
+    return next((r for r in rows if str(r.get("output")) == path), rows[0] if len(rows) == 1 else {})
+
+
+def factor(source: Column | str, level: Column | str, description: str, candidates: int | None = None) -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(text(source).alias("source"), text(level).alias("level"), F.lit(description).alias("description"), F.lit(candidates).cast("int").alias("candidate_count"))
+
+
+def against_reference(reference: DataFrame, images: DataFrame, keys: Keys, registration: str = "none", photometry: str = "none", limitations: Sequence[str] = (), grid: dict | None = None, record: dict | None = None, output: str = "", **options) -> DataFrame:
+    """As ``against_truth`` after registration and a photometric fit, with the uncertainty that both and the reference bring.
+
+    ``record`` is the report that came with the reference, ``output`` the path it calls the reference by: what they do not tell is uncertain, too.
+    """
     moved = registered(reference, images, keys, registration, **(grid or {}))
     applied = F.lit(False)
     if photometry == "linear_least_squares":
@@ -79,11 +107,31 @@ def against_reference(reference: DataFrame, images: DataFrame, keys: Keys, regis
     if photometry != "none":
         rows = rows.join(fit.select(*keys, "is_applied", "scale", "offset"), list(keys))
         applied = F.col("is_applied")
-    factors = [F.struct(F.lit(x).alias("source"), rank.limitation_level(F.lit(x)).alias("level")) for x in limitations]
-    method = "global_similarity_grid_search" if registration == "grid" else registration
-    factors.append(F.struct(F.lit(f"registration_{method}").alias("source"), rank.registration_level(F.lit(method)).alias("level")))
-    factors.append(F.struct(F.lit(f"photometry_{photometry}").alias("source"), rank.photometry_level(F.lit(photometry), applied).alias("level")))
-    rows = rows.withColumn("uncertainty", F.array(*factors))
+    factors = []
+    if record is not None:
+        row = reference_row(record, output)
+        told = record.get("limitations")
+        limitations = [*limitations, *(map(str, told) if isinstance(told, list) else ())]
+        if not row.get("label_provenance"):
+            factors.append(factor("reference_provenance_missing", "medium", "nothing tells where the reference comes from"))
+        if not any(k in row for k in GENERATION):
+            factors.append(factor("reference_generation_missing", "medium", "nothing tells how the reference was made"))
+        if not limitations:
+            factors.append(factor("no_reference_limitations_reported", "low", "the reference's report names no limitation"))
+    factors += [factor(x, rank.limitation_level(F.lit(x)), "a limitation that the reference's report declares") for x in limitations]
+    candidates = None
+    method = registration
+    if registration == "grid":
+        axes = {k: tuple((grid or {}).get(k, (0.0,))) for k in ("shears_x", "shears_y")}
+        method = "global_affine_grid_search" if any(x != 0 for v in axes.values() for x in v) else "global_similarity_grid_search"
+        candidates = math.prod(len(v) for v in {**axes, **{k: tuple(v) for k, v in (grid or {}).items()}}.values())
+    factors.append(factor(REGISTRATION_SOURCES.get(method, f"registration_{method}"), rank.registration_level(F.lit(method)), "how the image was moved onto the reference", candidates))
+    if photometry == "none":
+        source: Column | str = "photometric_normalization_not_applied"
+    else:
+        source = F.when(applied, "global_linear_photometric_normalization").otherwise("photometric_normalization_skipped")
+    factors.append(factor(source, rank.photometry_level(F.lit(photometry), applied), "how brightness was fitted to the reference"))
+    rows = rows.withColumn("uncertainty", F.array(*factors).cast(f"ARRAY<{FACTOR}>"))
     worst = F.array_max(F.transform("uncertainty", lambda f: rank.level_rank(f["level"])))
     return rows.withColumn("risk_level", rank.level_name(worst))
 

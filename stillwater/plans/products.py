@@ -77,6 +77,12 @@ def local_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", f"{root.rstrip('/')}/(.*)$", 1).alias("path"), F.lit(True).alias("is_file"), F.col("length").alias("size"), "content")
 
 
+def directory_size(spark: SparkSession, root: str) -> int:
+    """Bytes of all files below a folder; none are read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("length")
+    return raw.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def file_statuses(needed: DataFrame, files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Each needed file with what is there and what its label says; ``parsed`` is ``labels.parsed`` with paths below the root."""
     f = lambda n: F.element_at("fields", n)

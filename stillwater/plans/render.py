@@ -29,6 +29,12 @@ def telescope_reference(source: DataFrame, keys: Keys, sigma_px: float, dem: Dat
     return convolve.gaussian(image, keys, sigma_px)
 
 
+def chosen(references: DataFrame, role: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """The first reference of a role, or the first of all."""
+    rows = references if role is None else references.filter(F.col("role") == role)
+    return rows.orderBy(ordinal).limit(1)
+
+
 def extracted(files: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Files that can be cut out, and those that cannot with the reason."""
     rows = files.withColumn("reason", datasets.extraction_reason(columns))

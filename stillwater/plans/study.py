@@ -6,20 +6,22 @@ import dataclasses
 import itertools
 import os
 import platform
+import re
 import shutil
 import subprocess
 import sys
 import time
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.functions.text import slug
 from stillwater.operators import estimate, pixel
 from stillwater.plans import evaluate
-from stillwater.sources import synthetic
+from stillwater.sources import cases, images, synthetic
 
 BUILTIN: dict[str, Callable[..., DataFrame]] = {
     "mean_stack": lambda frames, case, **_: pixel.mean_stack(frames, case),
@@ -93,7 +95,11 @@ def reconstructions(frames: DataFrame, algorithms: Sequence[Algorithm], case: Se
     """case, algorithm, y, x, v of all algorithms; results of tools are passed in ``loaded`` by name."""
     out = None
     for i, a in enumerate(algorithms):
-        made = BUILTIN[a.builtin](frames, case, block=a.block, truth=truth) if a.kind == "builtin" else (loaded or {})[a.name]
+        made = (loaded or {}).get(a.name)
+        if made is None and a.kind == "builtin":
+            made = BUILTIN[a.builtin](frames, case, block=a.block, truth=truth)
+        if made is None:
+            raise KeyError(f"no result of {a.name} was loaded")
         made = made.select(*case, F.lit(a.name).alias("algorithm"), F.lit(i).alias("ordinal"), "y", "x", "v")
         out = made if out is None else out.unionByName(made)
     return out
@@ -163,6 +169,133 @@ def sweep(image: DataFrame, config: Sweep, bins: int = 16) -> DataFrame:
     return study(frames, pixels("latent", "scenario"), algorithms, ["scenario"], truth, bins=bins)
 
 
+class Adapter(Protocol):
+    """How a method takes part in a study: it is prepared, it runs, and its images (case, y, x, v) are collected."""
+
+    def prepare(self) -> None: ...
+
+    def execute(self) -> None: ...
+
+    def collect_results(self) -> DataFrame: ...
+
+
+def collected(spark: SparkSession, path: str, case: Sequence[str]) -> DataFrame:
+    """case, y, x, v of a result: a Parquet table, or one image file; without its own case it is that of ``case_id`` "case"."""
+    if os.path.splitext(path)[1].lower() in (".npy", ".tif", ".tiff"):
+        rows = images.pixels(images.load(spark, path)).drop("path")
+    else:
+        rows = spark.read.parquet(path)
+    for c in case:
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit("case"))
+    return pixel.checked(rows.select(*case, "y", "x", F.col("v").cast("double").alias("v")))
+
+
+@dataclasses.dataclass
+class BuiltinAdapter:
+    algorithm: Algorithm
+    frames: DataFrame
+    case: Sequence[str]
+    truth: DataFrame | None = None
+    made: DataFrame | None = None
+
+    def prepare(self) -> None:
+        self.algorithm.validate()
+
+    def execute(self) -> None:
+        self.made = BUILTIN[self.algorithm.builtin](self.frames, self.case, block=self.algorithm.block, truth=self.truth)
+
+    def collect_results(self) -> DataFrame:
+        return self.made
+
+
+@dataclasses.dataclass
+class CommandAdapter:
+    """A tool that reads the case's folder and leaves ``reconstruction`` (Parquet, .npy or .tif) in its result folder."""
+
+    algorithm: Algorithm
+    spark: SparkSession
+    folder: str
+    result: str
+    case: Sequence[str]
+
+    def prepare(self) -> None:
+        if shutil.which(self.algorithm.command[0]) is None:
+            raise RuntimeError(f"{self.algorithm.name}: command_executable_not_found")
+        os.makedirs(self.result, exist_ok=True)
+
+    def execute(self) -> None:
+        run_command(self.algorithm.command, self.folder, self.result)
+
+    def collect_results(self) -> DataFrame:
+        at = next((p for s in (".npy", ".tif", ".tiff", ".parquet", "") if os.path.exists(p := os.path.join(self.result, f"reconstruction{s}"))), None)
+        if at is None:
+            raise FileNotFoundError(f"{self.algorithm.name} left no reconstruction in {self.result}")
+        return collected(self.spark, at, self.case)
+
+
+@dataclasses.dataclass
+class ExistingAdapter:
+    algorithm: Algorithm
+    spark: SparkSession
+    case: Sequence[str]
+
+    def prepare(self) -> None:
+        if not os.path.exists(self.algorithm.result or ""):
+            raise RuntimeError(f"{self.algorithm.name}: result_reconstruction_not_found")
+
+    def execute(self) -> None:
+        """It was run elsewhere."""
+
+    def collect_results(self) -> DataFrame:
+        return collected(self.spark, self.algorithm.result, self.case)
+
+
+def configured(spark: SparkSession, config: dict, folder: str, out: str, reference: DataFrame | None = None, **options) -> DataFrame:
+    """Report rows of a study as its ``config`` says: algorithms of all kinds, in their order, on the case in ``folder``.
+
+    Nothing runs unless all can. Results of tools go to ``out``/results. With a ``reference`` (y, x, v)
+    they are scored against that instead of the case's truth; ``options`` go to the evaluation.
+    """
+    case = ["case_id"]
+    algorithms = [Algorithm(**{k: tuple(v) if k == "command" else v for k, v in r.items()}) for r in config["algorithms"]]
+    validate(algorithms)
+    frames = cases.frames(spark, folder)
+    adapters: list[Adapter] = []
+    for a in algorithms:
+        if a.kind == "builtin":
+            adapters.append(BuiltinAdapter(a, frames, case, cases.truth(spark, folder, "warp") if a.builtin == "oracle_aligned_stack" else None))
+        elif a.kind == "command":
+            adapters.append(CommandAdapter(a, spark, folder, os.path.join(out, "results", f"{len(adapters)}_{re.sub(r'[^A-Za-z0-9._-]+', '_', a.name)}"), case))
+        else:
+            adapters.append(ExistingAdapter(a, spark, case))
+    for x in adapters:
+        x.prepare()
+    loaded = {}
+    runtime = {}
+    for a, x in zip(algorithms, adapters, strict=True):
+        began = time.monotonic()
+        x.execute()
+        loaded[a.name] = x.collect_results()
+        runtime[a.name] = time.monotonic() - began if a.kind == "command" else None
+    made = reconstructions(frames, algorithms, case, None, loaded)
+    keys = [*case, "algorithm", "ordinal"]
+    if reference is None:
+        rows = evaluate.against_truth(cases.truth(spark, folder, "latent"), made, keys, **options)
+    else:
+        rows = evaluate.against_reference(reference, made, keys, **options)
+    took = F.create_map(*(F.lit(x) for n, s in runtime.items() for x in (n, s)))
+    return rows.withColumn("reconstruction_runtime_s", F.element_at(took, F.col("algorithm")).cast("double"))
+
+
+def import_result(spark: SparkSession, path: str, out: str, name: str, source: dict | None = None) -> str:
+    """A reconstruction made by hand or elsewhere as a result table of that name, with a record of where it came from."""
+    from stillwater.sources.reports import write_json
+
+    rows = collected(spark, path, ["case_id"]).withColumn("algorithm", F.lit(name))
+    rows.write.mode("overwrite").partitionBy("case_id").parquet(os.path.join(out, "reconstruction"))
+    return write_json({"algorithm": name, "imported_from": os.path.abspath(path), "source": source or {}, "provenance": provenance()}, os.path.join(out, "import.json"))
+
+
 def provenance() -> dict:
     """Versions, machine and commit; a commit that cannot be told within five seconds is null."""
 

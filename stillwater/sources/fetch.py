@@ -88,3 +88,27 @@ def products(rows: list[dict], root: str, budget: int, opener=urllib.request.url
                 raise ValueError(f"{path} does not have its checksum")
         out.append(path)
     return out
+
+
+def documents(rows: list[dict], root: str, opener=urllib.request.urlopen) -> list[str]:
+    """Fetches a manifest's small documents (url, local_path, expected_max_bytes), in their order."""
+    return [text(r["url"], target(root, r["local_path"]), min(r.get("expected_max_bytes") or TEXT_BYTES, TEXT_BYTES), opener) for r in rows]
+
+
+def product_labels(rows: list[dict], root: str, opener=urllib.request.urlopen) -> list[str]:
+    """Fetches the labels that product files declare, each destination once."""
+    wanted: dict[str, str] = {}
+    for r in rows:
+        if r.get("label_url") and r.get("label_local_path"):
+            wanted.setdefault(r["label_local_path"], r["label_url"])
+    return [text(url, target(root, path), TEXT_BYTES, opener) for path, url in wanted.items()]
+
+
+def named(rows: list[dict], names: list[str] | None) -> list[dict]:
+    """The products of these names, in their order; all without names. An unknown name fails."""
+    if not names:
+        return rows
+    unknown = sorted(set(names) - {r["name"] for r in rows})
+    if unknown:
+        raise ValueError(f"no such product: {', '.join(unknown)}")
+    return [r for r in rows if r["name"] in set(names)]

@@ -1,6 +1,7 @@
 import io
 import os
 import struct
+import sys
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from helpers import array_of, image_table, structured
 from stillwater import cli
 from stillwater.functions import geometry, telescope, text
 from stillwater.operators import datasets
-from stillwater.plans import evaluate, render, study
+from stillwater.plans import evaluate, products, render, study
 from stillwater.sources import cases, fetch, images, labels, raster, reports, synthetic, tiff
 from stillwater.streaming import stacks
 
@@ -232,3 +233,66 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert cli.main(["compare", "--out", d("c.md"), d("mean_stack.json"), d("single_frame.json")]) == 0
     assert cli.main(["report", "--out", d("r.md"), d("mean_stack.json")]) == 0
     assert "Leaders" in open(d("c.md")).read() and "ssim_global" in open(d("r.md")).read()
+
+
+def test_configured_study_runs_all_kinds(spark, tmp_path):
+    d = lambda *p: str(tmp_path.joinpath(*p))
+    assert cli.main(["simulate", "--out", d("case"), "--size", "16", "--frames", "3", "--warp", "0.5"]) == 0
+    np.save(d("made.npy"), np.full((16, 16), 0.5))
+    tool = "import sys, numpy; numpy.save(sys.argv[1] + '/reconstruction.npy', numpy.linspace(0, 1, 256).reshape(16, 16))"
+    record = {"algorithms": [{"name": "mean", "builtin": "mean_stack"}, {"name": "by tool", "kind": "command", "command": [sys.executable, "-c", tool, "{result}"]}, {"name": "old", "kind": "existing_result", "result": d("made.npy")}]}
+    reports.write_json(record, d("study.json"))
+    assert cli.main(["study", "--config", d("study.json"), "--case", d("case"), "--out", d("out"), "--bins", "4"]) == 0
+    rows = spark.read.parquet(d("out", "reports")).orderBy("ordinal").collect()
+    assert [r["algorithm"] for r in rows] == ["mean", "by tool", "old"] and [r["reconstruction_runtime_s"] is None for r in rows] == [True, False, True]
+    reference = image_table(spark, a=structured(16)).drop("image_id")
+    scored = study.configured(spark, record, d("case"), d("out2"), reference, bins=4, record={"references": []}).collect()
+    assert {r["risk_level"] for r in scored} == {"medium"} and len(scored) == 3
+    assert os.path.exists(d("out2", "results", "1_by_tool", "command.json"))
+    record["algorithms"][2]["result"] = d("nothing.npy")
+    with pytest.raises(RuntimeError, match="result_reconstruction_not_found"):
+        study.configured(spark, record, d("case"), d("out3"))
+    assert not os.path.exists(d("out3", "results", "1_by_tool", "command.json"))
+    assert cli.main(["import-result", "--result", d("made.npy"), "--out", d("imported"), "--name", "hand"]) == 0
+    assert spark.read.parquet(d("imported", "reconstruction")).count() == 256
+    assert cli.main(["diagnostics", "--case", d("case"), "--result", d("imported", "reconstruction"), "--out", d("maps"), "--bins", "4"]) == 0
+    assert {"truth", "reconstruction", "residual", "edge", "false_detail", "blink", "frequency_recovery"} <= set(os.listdir(d("maps")))
+
+
+def test_reference_records_name_what_they_lack(spark):
+    row = {"output": "a.tif", "role": "albedo", "label_provenance": {"title": "t"}}
+    assert evaluate.reference_row({"references": [row, {"output": "b.tif"}]}, "b.tif") == {"output": "b.tif"}
+    assert evaluate.reference_row({"references": [row]}, "other") == row and evaluate.reference_row({"references": [row, row]}, "other") == {} and evaluate.reference_row(None, "x") == {}
+    image = image_table(spark, a=structured(8)).drop("image_id")
+    made = image_table(spark, r=structured(8))
+    sources = lambda **k: [f["source"] for f in evaluate.against_reference(image, made, ["image_id"], bins=4, **k).first()["uncertainty"]]
+    assert sources(record={}) == ["reference_provenance_missing", "reference_generation_missing", "no_reference_limitations_reported", "geometric_registration_not_applied", "photometric_normalization_not_applied"]
+    assert sources(record={"references": [row], "limitations": ["not_spice_backed"]}, output="a.tif", photometry="linear_least_squares") == ["not_spice_backed", "geometric_registration_not_applied", "global_linear_photometric_normalization"]
+    factors = evaluate.against_reference(image, made, ["image_id"], "grid", grid={"rotations": (0.0, 1.0), "scales": (1.0,), "shears_x": (0.0, 0.1)}, bins=4).first()["uncertainty"]
+    assert (factors[0]["source"], factors[0]["candidate_count"]) == ("global_affine_registration", 4)
+
+
+def test_documents_labels_and_products_by_name(tmp_path):
+    asked = []
+
+    def opener(url):
+        asked.append(url)
+        return Served(b"text")
+
+    rows = [{"name": "a", "label_url": "http://x/a.lbl", "label_local_path": "l/a.lbl"}, {"name": "b", "label_url": "http://x/again.lbl", "label_local_path": "l/a.lbl"}, {"name": "c", "label_url": None, "label_local_path": None}]
+    assert fetch.product_labels(rows, str(tmp_path), opener) == [str(tmp_path / "l/a.lbl")] and asked == ["http://x/a.lbl"]
+    assert fetch.documents([{"url": "http://x/d.txt", "local_path": "d.txt", "expected_max_bytes": 10}], str(tmp_path), opener) == [str(tmp_path / "d.txt")]
+    with pytest.raises(ValueError):
+        fetch.documents([{"url": "http://x/d.txt", "local_path": "d.txt", "expected_max_bytes": 2}], str(tmp_path), opener)
+    assert fetch.named(rows, ["b"]) == [rows[1]] and fetch.named(rows, None) == rows
+    with pytest.raises(ValueError, match="no such product"):
+        fetch.named(rows, ["z"])
+
+
+def test_directory_size_and_reference_by_role(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a").write_bytes(b"123")
+    (tmp_path / "in" / "b").write_bytes(b"4567")
+    assert products.directory_size(spark, str(tmp_path)) == 7
+    rows = spark.createDataFrame([(1, "terrain", "t"), (0, "albedo", "a"), (2, "terrain", "u")], "ordinal int, role string, output string")
+    assert render.chosen(rows).first()["output"] == "a" and render.chosen(rows, "terrain").first()["output"] == "t" and render.chosen(rows, "none").isEmpty()
