@@ -10,7 +10,8 @@ A word over ``LONG`` bytes goes through rounds of its own, which look only at th
 its work grows with its length, not with the length times the ranks. Short words seen before in a
 task are kept in a memo of two generations, each of at most ``MEMO`` words and those of one batch. Defined results: a null or empty text has
 no ids and decodes to an empty text; special tokens spelled out in a text become their ids;
-repeated rows are encoded alike; an empty table gives an empty table.
+of pairs of one rank that overlap, the left one is merged; texts and words of any length are encoded whole;
+repeated rows are encoded alike; further columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ small however long the texts are. The salt deals a hot group out over ``salts``
 is compared in full, and the runs of one content, a row each, are joined by their SHA-256.
 
 Defined results: a null text is an empty text; all empty texts are one group; repeated rows
-count as rows; a null identifier sorts before all others; an empty table gives an empty table.
+count as rows; a null identifier sorts before all others; of equal texts of one length the smallest identifier stays;
+texts of any length are compared whole; further columns, whatever their names, are kept by ``dedup`` and not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -70,11 +71,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kept = groups.filter("kept")
     if repeats.isEmpty():
         return with_ids(docs, kept.select("doc_id"), id_col)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256)).withColumn("__n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__kept_sha"]), "left_semi")
-    first = Window.partitionBy(id_col, "__sha").orderBy(F.desc("__n"), text_col)
-    return out.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*docs.columns)
+    kept = kept.select("doc_id", "text_sha256")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    # whole rows go along as one column, so that theirs may have any name
+    marked = docs.select(F.struct("*").alias("whole"), docs[id_col].alias("own"), F.sha2(normalised(text), 256).alias("sha"), F.length(text).alias("n"), text.alias("t"))
+    out = marked.join(kept, marked["own"].eqNullSafe(kept["doc_id"]) & (marked["sha"] == kept["text_sha256"]), "left_semi")
+    first = Window.partitionBy("own", "sha").orderBy(F.desc("n"), "t")
+    return out.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("whole.*")
 
 
 ORACLE = r"""

@@ -10,7 +10,8 @@ short for any surge point is taken whole, as far as it is not skipped.
 
 Defined results: a null or empty page, or one without main text, gives an empty text and 0
 characters; repeated rows are read alike; an end tag finds its opening tag at any depth; an unclosed tag is dropped and an unclosed comment,
-script or style runs to the page's end; an empty table gives an empty table.
+script or style runs to the page's end; a page of any length is read whole, and equal lines are
+all kept; further columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ are joined on salted cells, so that a hot cell is never one task's work.
 
 Defined results: a null level is a level of its own, ``(null)``; documents without tokens have
 weight 1 (they carry none) and are kept; an empty table gives an empty table; repeated rows are drawn alike, by
-their identifier.
+their identifier; a text of any length counts its tokens whole; further columns, whatever their names, are kept by ``sample``.
 """
 
 from __future__ import annotations
@@ -111,6 +111,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return joined.withColumn("__sampled", uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed) < F.col("__probability"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents drawn, with the columns of ``docs``."""
-    return mixed(docs, **options).filter("__sampled").select(*docs.columns)
+    # whole rows go along as one column, so that theirs may have any name
+    rows = docs.select(F.struct("*").alias("__row"), docs[id_col].alias("doc_id"), docs["text"], docs["source"], docs["lang"])
+    return mixed(rows, **options).filter("__sampled").select("__row.*")

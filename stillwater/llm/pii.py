@@ -8,7 +8,9 @@ classifier. A proposed span is described by a bounded code (kind, votes, size, m
 reaches the driver is a table of codes with counts, not of spans.
 
 Defined results: a null or empty text has no spans; a proposed span that overlaps a fixed one is
-dropped; repeated rows are scanned alike; an empty table gives an empty table.
+dropped; repeated rows are scanned alike; texts of any
+length are scanned whole, in time that grows with the length; of proposals that overlap, the kinds first named go first, and within a kind the leftmost;
+further columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

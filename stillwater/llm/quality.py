@@ -8,7 +8,7 @@ averages one number an n-gram.
 
 Defined results: a null or empty text has the features of an empty text and is scored like any
 other; without labels of both classes every score is the labels' share of 1 (0.5 without labels);
-repeated rows are scored alike; an empty table gives an empty table.
+repeated rows are scored alike; texts of any length are scored whole; further columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

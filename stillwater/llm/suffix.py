@@ -13,7 +13,8 @@ search in the sorted strings met so far. What a shard sends of a hot passage is
 
 Defined results: a null text is an empty text; a text shorter than ``LENGTH`` bytes is kept whole;
 a null identifier comes before all others; rows that repeat an identifier are separate
-documents in the order of their texts; an empty table gives an empty table.
+documents in the order of their texts; a text of any length is one document of one shard (below 2^28 bytes: positions have 28 bits);
+further columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Characters beyond Latin-1 have symbols as well (``Spelling``): no letter of any
 
 Defined results: a null or empty text has no subsequence and is scored like one without any
 known subsequence; without labels of both classes every score is the labels' share of 1 (0.5
-without labels); repeated rows are scored alike; an empty table gives an empty table.
+without labels); repeated rows are scored alike; texts of any length are scored whole, and of equally strong windows the
+first counts; further columns are kept by ``clean`` and never read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -217,6 +217,22 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert recall >= 0.95
 
 
+def test_recall_on_the_embeddings_table(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
+    got = queries.op8_neighbours(spark, sf).toPandas()
+    assert list(got.columns[:4]) == ["query_id", "rank", "vec_id", "score"]
+    recall = []
+    for q, rows in got.groupby("query_id"):
+        score = x @ x[ids == q][0]
+        best = [ids[i] for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        recall.append(len(set(best) & set(rows.vec_id)) / 20)
+    assert len(recall) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+
+
 def test_repeated_rows_take_no_neighbours_place(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))

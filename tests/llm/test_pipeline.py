@@ -4,6 +4,7 @@ import re
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import cases
 import corpus_pipeline
@@ -59,3 +60,26 @@ def test_stages_take_effect(spark, folder, tmp_path):
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
+
+
+CLASHES = ("__id", "__sha", "__n", "__row", "__tokens", "__topic", "__weight", "__sampled", "__salt", "whole", "own", "sha", "n", "t", "nth", "cls", "salt", "root")
+
+
+@pytest.mark.parametrize("stage", [1, 2, 3])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stages_keep_columns_of_any_name(spark, stage, repeated):
+    rows = [(i, t) for i, t in cases.TEXTS if i not in (7, 8)]
+    rows = rows if repeated else list({i: (i, t) for i, t in rows}.values())
+    docs = cases.documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, "").collect()
+    assert got and got[0].__fields__ == docs.columns
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for r in got for c in CLASHES)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, None)], [(1, "")], [(1, "a b"), (1, "a b")]])
+def test_stages_of_hardly_any_rows(spark, rows, tmp_path):
+    docs = cases.documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32()), "toxic": pa.array([], pa.int32())}), tmp_path / "labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() <= len(rows)
