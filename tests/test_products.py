@@ -51,6 +51,34 @@ def test_region_from_manifest_to_its_own_grid(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "grid")).count() == 6
 
 
+XML = """<?xml version="1.0"?><Product><pixel_resolution_x>0.03</pixel_resolution_x><pixel_scale_x>1000.0</pixel_scale_x><file_name>p.img</file_name>
+<south_bounding_coordinate>0</south_bounding_coordinate><north_bounding_coordinate>10</north_bounding_coordinate><west_bounding_coordinate>0</west_bounding_coordinate><east_bounding_coordinate>10</east_bounding_coordinate>
+<Array_2D_Image><offset unit="byte">64</offset><data_type>SignedLSB2</data_type><Axis_Array><axis_name>Line</axis_name><elements>10</elements></Axis_Array><Axis_Array><axis_name>Sample</axis_name><elements>10</elements></Axis_Array><missing_constant>34</missing_constant></Array_2D_Image></Product>"""
+
+
+def test_an_array_behind_a_header_is_cut_out_at_its_offset(spark, tmp_path):
+    args = prepared(tmp_path)
+    product = tmp_path / "root/data/t/p.img"
+    product.write_bytes(b"h" * 64 + product.read_bytes())
+    manifest = json.loads((tmp_path / "root/m/tile.json").read_text())
+    manifest["product_files"][0] |= {"checksum": "md5:" + fetch.digest(str(product), "md5"), "expected_size_bytes": 264}
+    (tmp_path / "root/m/tile.json").write_text(json.dumps(manifest))
+    (tmp_path / "root/data/metadata/p.lbl").write_text(XML)
+    assert cli.main(["extract-roi", "--out", str(tmp_path / "cut"), *args]) == 0
+    got = spark.read.parquet(str(tmp_path / "cut")).toPandas().sort_values(["y", "x"])
+    want = np.arange(100.0).reshape(10, 10)[2:8, 3:7]
+    assert np.array_equal(got.v.to_numpy().reshape(6, 4), np.where(want == 34, np.nan, want), equal_nan=True)
+
+
+def test_documents_are_bounded_and_sources_told(spark, tmp_path):
+    document = {"name": "d", "url": "https://h/d.txt", "local_path": "d.txt", "expected_max_bytes": 2_000_000, "purpose": ""}
+    for name, x in (("a", {**MANIFEST, "metadata_documents": [document]}), ("b", {**MANIFEST, "source": "https://h/x", "metadata_documents": [{**document, "expected_max_bytes": 10}]}), ("c", MANIFEST)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x))
+    rows = {r["path"][-6]: r for r in products.validation(products.manifests(spark, str(tmp_path))).collect()}
+    assert rows["a"]["error"] == "unsound metadata document" and rows["b"]["is_valid"] and rows["b"]["source_error"] is None
+    assert rows["c"]["source_error"] == "source is no http(s) address"
+
+
 def test_missing_products_block_and_are_planned(spark, tmp_path):
     args = prepared(tmp_path, there=False)
     assert cli.main(["roi-readiness", "--out", str(tmp_path / "ready.json"), *args]) == 1
