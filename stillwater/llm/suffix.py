@@ -8,8 +8,8 @@ tied), neighbours' common prefixes come from Kasai's recurrence, and runs of nei
 Across shards, every string of ``LENGTH`` bytes has an anchor: its least-hashed part of ``GRAM``
 bytes. Equal strings have equal anchors, so only strings whose anchor occurs twice need sorting at all
 (the filter loses nothing), and earliest starts of different shards meet by anchor. There the runs of
-strings around an anchor are merged: equal runs at once, others string by string, each found by binary
-search in the sorted strings met so far. What a shard sends of a hot passage is its earliest copy alone.
+strings around an anchor are merged: equal runs at once, others string by string, the sorted strings of one shard
+found by binary search among those of another until all shards are one list. What a shard sends of a hot passage is its earliest copy alone.
 
 Defined results: a null text is an empty text; a text shorter than ``LENGTH`` bytes is kept whole;
 a null identifier comes before all others; rows that repeat an identifier are separate
@@ -353,16 +353,10 @@ def merge(table: pa.Table) -> pa.Table:
                 n = size[own].astype(np.int64)
                 run = np.repeat(own, n)
                 inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                strings = flat[(at[run] + inside)[:, None] + np.arange(LENGTH)]
-                # a string's anchor and its offset come first: only strings of one anchor can be equal
-                strings = np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel()
-                table_ = np.unique(strings)
-                where = np.searchsorted(table_, strings)
-                by = np.lexsort((begin[run] + inside, doc[run], where))
-                head = np.r_[True, np.diff(where[by]) != 0]
-                late = np.ones(len(run), bool)
-                late[by[head]] = False
-                late = np.flatnonzero(late)
+                strings = np.ndarray((len(flat) - LENGTH + 1,), f"S{LENGTH}", flat, strides=(1,))[at[run] + inside]
+                origin = np.empty(len(run), np.int64)
+                origin[np.lexsort((begin[run] + inside, doc[run]))] = np.arange(len(run))
+                late = np.flatnonzero(starts_earlier(strings, origin, owner[run]))
                 if len(late):
                     cut = np.flatnonzero(np.r_[True, (np.diff(run[late]) != 0) | (np.diff(inside[late]) != 1)])
                     last = np.r_[cut[1:], len(late)] - 1
@@ -384,6 +378,32 @@ def merge(table: pa.Table) -> pa.Table:
 _places = np.random.default_rng(20240311).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+def starts_earlier(strings: np.ndarray, origin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which strings also occur in another shard with a smaller ``origin``; those of one shard are distinct.
+
+    Each shard's strings are sorted; two sorted lists at a time become one by binary search of the shorter in the longer, which
+    keeps the earlier of equals, until one list is left.
+    """
+    late = np.zeros(len(strings), bool)
+    by = np.argsort(owner, kind="stable")
+    lists = [own[np.argsort(strings[own])] for own in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1)]
+    while len(lists) > 1:
+        lists.sort(key=len)  # lists of about one length meet
+        merged = lists[len(lists) & ~1 :]
+        for few, many in zip(lists[0 : len(lists) & ~1 : 2], lists[1::2], strict=True):
+            sorted_, sought = strings[many], strings[few]
+            at = np.searchsorted(sorted_, sought)
+            met = np.minimum(at, len(many) - 1)
+            same = sorted_[met] == sought
+            one, other = many[met[same]], few[same]
+            earlier = origin[one] < origin[other]
+            late[np.where(earlier, other, one)] = True
+            many[met[same]] = np.where(earlier, one, other)
+            merged.append(np.insert(many, at[~same], few[~same]))
+        lists = merged
+    return late
+
+
 def same_bytes(flat: np.ndarray, at: np.ndarray, total: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether the bytes of runs equal those of other runs of the same length."""
     out = total[one] == total[other]
