@@ -274,13 +274,37 @@ def false_detail_map(spark, sf_dir):
     return rounded(spectral.false_detail_map(high_pairs(spark, sf_dir), IMAGE), "v", digits=5)
 
 
-@query()
+def phase_sql(source: str, keys: str, n: int) -> str:
+    """CTEs that end in shift (keys, u, w): phase correlation of the n x n images v and r of ``source`` (keys, y, x, v, r)."""
+    turn = "2 * pi() * (({a} * {b}) % {n}) / {n}"
+    tx, ty = turn.format(a="x", b="kx", n=n), turn.format(a="y", b="ky", n=n)
+    ks, at = f"(SELECT unnest(range(0, {n})) AS k{{0}})", f"(SELECT unnest(range(0, {n})) AS {{0}})"
+    rows = ", ".join(f"sum({c} * cos({tx})) AS {c}r, sum(-{c} * sin({tx})) AS {c}i" for c in "ab")
+    both = ", ".join(f"sum({c}r * cos({ty}) + {c}i * sin({ty})) AS {c}r, sum({c}i * cos({ty}) - {c}r * sin({ty})) AS {c}i" for c in "ab")
+    signed = "CAST(CASE WHEN {0} > {1} THEN {0} - {2} ELSE {0} END AS INT)"
+    return f"""win AS (SELECT {keys}, y, x, (v - avg(v) OVER one) * hann AS a, (r - avg(r) OVER one) * hann AS b FROM (SELECT *, (0.5 - 0.5 * cos(2 * pi() * y / {n - 1})) * (0.5 - 0.5 * cos(2 * pi() * x / {n - 1})) AS hann FROM {source}) WINDOW one AS (PARTITION BY {keys})),
+ rowwise AS (SELECT {keys}, y, kx, {rows} FROM win, {ks.format('x')} GROUP BY ALL),
+ spectrum AS (SELECT {keys}, ky, kx, {both} FROM rowwise, {ks.format('y')} GROUP BY ALL),
+ crossed AS (SELECT {keys}, ky, kx, ar * br + ai * bi AS re, ai * br - ar * bi AS im FROM spectrum),
+ white AS (SELECT {keys}, ky, kx, coalesce(re / nullif(sqrt(re * re + im * im), 0), 0) AS re, coalesce(im / nullif(sqrt(re * re + im * im), 0), 0) AS im FROM crossed),
+ back AS (SELECT {keys}, ky, x, sum(re * cos({tx}) - im * sin({tx})) AS re, sum(re * sin({tx}) + im * cos({tx})) AS im FROM white, {at.format('x')} GROUP BY ALL),
+ peaks AS (SELECT {keys}, y, x, sum(re * cos({ty}) - im * sin({ty})) AS p FROM back, {at.format('y')} GROUP BY ALL),
+ shift AS (SELECT {keys}, {signed.format('x', n // 2, n)} AS u, {signed.format('y', n // 2, n)} AS w FROM peaks QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(p, 9) DESC, y, x) = 1)"""
+
+
+FIRST = f"{PX}, firsts AS (SELECT label, min(vec_id) AS vec_id FROM px GROUP BY label), pair AS (SELECT px.vec_id, px.label, px.y, px.x, px.v, f.v AS r FROM px JOIN firsts ON firsts.label = px.label JOIN px f ON f.vec_id = firsts.vec_id AND f.label = px.label AND f.y = px.y AND f.x = px.x)"
+BLOCKS = f"blocks AS (SELECT vec_id, label, y // 4 AS v4, x // 4 AS h4, y % 4 AS y, x % 4 AS x, v, r FROM pair), {phase_sql('blocks', 'vec_id, label, v4, h4', 4)}"
+FIELD = "field AS (SELECT vec_id, label, CAST(y AS INT) AS y, CAST(x AS INT) AS x, sum(wt * u) AS u, sum(wt * w) AS w_v FROM (SELECT shift.*, y, x, (CASE v4 WHEN 0 THEN 1 - y / 7.0 ELSE y / 7.0 END) * (CASE h4 WHEN 0 THEN 1 - x / 7.0 ELSE x / 7.0 END) AS wt FROM shift, (SELECT unnest(range(0, 8)) AS y), (SELECT unnest(range(0, 8)) AS x)) GROUP BY ALL)"
+ALIGNED = "SELECT label, oy AS y, ox AS x, round(greatest(least(avg(value), 1.0), 0.0), 6) + 0.0 AS v FROM s GROUP BY label, oy, ox"
+
+
+@query(f"WITH {PAIR}, {phase_sql('pair', 'vec_id, label', 8)} SELECT vec_id, label, u AS shift_u, w AS shift_v FROM shift")
 def phase_shift(spark, sf_dir):
     px = frames(spark, sf_dir)
     return estimate.shifts(pixel.mean_stack(px, ["label"]), px, IMAGE)
 
 
-@query()
+@query(f"WITH {PAIR}, {BLOCKS}, {FIELD} SELECT vec_id, label, y, x, round(u, 6) + 0.0 AS u, round(w_v, 6) + 0.0 AS w_v FROM field")
 def block_shift_field(spark, sf_dir):
     px = frames(spark, sf_dir)
     return rounded(estimate.block_fields(pixel.mean_stack(px, ["label"]), px, IMAGE, 4), "u", "w_v")
@@ -390,12 +414,12 @@ def oracle_stack(spark, sf_dir):
     return rounded(estimate.oracle_stack(px, truth, ["label"], "vec_id"), "v").select("label", "y", "x", "v")
 
 
-@query()
+@query(f"WITH {FIRST}, {phase_sql('pair', 'vec_id, label', 8)}, pts AS (SELECT vec_id, label, y AS oy, x AS ox, y + w AS sy, x + u AS sx FROM (SELECT vec_id, label, y, x FROM px) JOIN shift USING (vec_id, label)), {bilinear('pts')} {ALIGNED}")
 def translation_stack(spark, sf_dir):
     return rounded(estimate.translation_stack(frames(spark, sf_dir), ["label"], "vec_id"), "v")
 
 
-@query()
+@query(f"WITH {FIRST}, {BLOCKS}, {FIELD}, pts AS (SELECT vec_id, label, y AS oy, x AS ox, y + w_v AS sy, x + u AS sx FROM field), {bilinear('pts')} {ALIGNED}")
 def block_stack(spark, sf_dir):
     return rounded(estimate.block_stack(frames(spark, sf_dir), ["label"], 4, "vec_id"), "v")
 
