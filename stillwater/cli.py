@@ -108,7 +108,7 @@ def diagnostics(a: argparse.Namespace) -> int:
     truth, made = cases.truth(spark, a.case, "latent"), spark.read.parquet(a.result)
     keys = ["case_id", "algorithm"]
     shared = [k for k in keys if k in truth.columns]
-    high = pixel.paired(spectral.high_pass(truth, shared), spectral.high_pass(made, keys), keys)
+    high = pixel.paired(spectral.high_pass_dense(truth, shared), spectral.high_pass_dense(made, keys), keys)
     maps = {"truth": truth, "reconstruction": made, "residual": pixel.residual(truth, made, keys), "edge": pixel.edge_residual(pixel.paired(truth, made, keys), keys), "false_detail": spectral.false_detail_map(high, keys)}
     first = cases.frames(spark, a.case, frame=1)
     extent = lambda df: df.agg(F.max("y"), F.max("x")).first()
@@ -116,7 +116,7 @@ def diagnostics(a: argparse.Namespace) -> int:
         maps["blink"] = first.select("case_id", F.lit("degraded").alias("algorithm"), "y", "x", "v").unionByName(made.select(*keys, "y", "x", "v"))
     for name, df in maps.items():
         df.select(*(k for k in keys if k in df.columns), "y", "x", "v").write.mode("overwrite").parquet(f"{a.out}/{name}")
-    curve = spectral.radial_curve(truth, made, keys, a.bins)
+    curve = spectral.radial_curve(truth, made, keys, a.bins, spectral.dft_dense)
     curve.orderBy(*keys, "bin").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{a.out}/frequency_recovery")  # a row a bin
     if os.path.isdir(f"{a.case}/truth/warp"):
         far = F.hypot("u", "v")

@@ -83,6 +83,19 @@ def airy_kernel(spark: SparkSession, r0: float, obstruction: float = 0.0, trunca
     return rows.select("oy", "ox", (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(1)))).alias("weight"))
 
 
+def airy_array(r0: float, obstruction: float = 0.0, truncate: float = 8.0) -> np.ndarray:
+    """The weights of ``airy_kernel`` as an array."""
+    radius = max(1, math.ceil(truncate * r0))
+    off = np.arange(-radius, radius + 1)
+    arg = FIRST_ZERO * np.hypot(off[:, None], off[None]) / r0
+    safe = np.where(arg == 0, 1.0, arg)
+    amplitude = 2 * bessel_j1(safe) / safe
+    if obstruction:
+        amplitude = 2 * (bessel_j1(safe) - obstruction * bessel_j1(obstruction * safe)) / (safe * (1 - obstruction**2))
+    pattern = np.where(arg == 0, 1.0, amplitude**2)
+    return pattern / pattern.sum()
+
+
 def convolved(image: DataFrame, kernel: DataFrame, keys: Keys) -> DataFrame:
     """Two-dimensional convolution by a kernel of few offsets (broadcast: a kernel's size is fixed by its radius)."""
     size = sizes(image, keys)
@@ -101,20 +114,24 @@ def convolve_array(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return full[2 * ry : 2 * ry + image.shape[0], 2 * rx : 2 * rx + image.shape[1]]
 
 
-def dense(image: DataFrame, keys: Keys, kernel) -> DataFrame:
-    """``kernel(array) -> array`` on each whole image, one image a row; images return as pixels."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in image.select(*keys).schema) + ", h int, w int, data array<double>"
+def dense_columns(image: DataFrame, keys: Keys, kernel, names: Sequence[str]) -> DataFrame:
+    """keys, y, x, h, w and a column a name: ``kernel(array) -> {name: array}`` on each whole image, one image a row."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in image.select(*keys).schema), "h int", "w int", *(f"{n} array<double>" for n in names)])
 
     def run(batches):
         for part in batches:
-            rows = []
-            for row in part.itertuples(index=False):
+            for row in part.itertuples(index=False):  # a large image is a batch of its own
                 out = kernel(np.asarray(row.data, float).reshape(row.h, row.w))
-                rows.append((*(getattr(row, k) for k in keys), *out.shape, out.ravel()))
-            yield pd.DataFrame(rows, columns=[*keys, "h", "w", "data"])
+                yield pd.DataFrame([(*(getattr(row, k) for k in keys), *out[names[0]].shape, *(out[n].ravel() for n in names))], columns=[*keys, "h", "w", *names])
+
+    rows = imploded(image, keys).filter("h IS NOT NULL").mapInPandas(run, schema)  # no keys and no pixels are a row of nulls
+    rows = rows.select(*keys, "h", "w", F.posexplode(F.arrays_zip(*names)).alias("p", "s"))
+    return rows.select(*keys, F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x"), "h", "w", *(F.col("s")[n].alias(n) for n in names))
+
 
-    rows = imploded(image, keys).mapInPandas(run, schema)
-    return rows.select(*keys, "w", F.posexplode("data").alias("p", "v")).select(*keys, F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x"), "v")
+def dense(image: DataFrame, keys: Keys, kernel) -> DataFrame:
+    """``kernel(array) -> array`` on each whole image, one image a row; images return as pixels."""
+    return dense_columns(image, keys, lambda a: {"v": kernel(a)}, ["v"]).drop("h", "w")
 
 
 def varying_blur(image: DataFrame, weight: DataFrame, keys: Keys, base: float, variation: float) -> DataFrame:

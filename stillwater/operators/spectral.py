@@ -1,6 +1,7 @@
 """Spectra, radial frequency curves, recovery limits and false detail.
 
-Small images (up to about 64 pixels a side) are transformed by two grouped sums; larger ones by NumPy's FFT, one image a row.
+A transform is two grouped sums over pixels (``dft``), rows without Python that grow with the cube of a side, or NumPy's FFT of one
+image a row (``dft_dense``), which the evaluation of images of any size takes. Both give the same table.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ def dft(image: DataFrame, keys: Keys) -> DataFrame:
     return rows.groupBy(*keys, "h", "w", "ky", "kx").agg(F.sum(F.col("a") * F.cos(angle) - F.col("b") * F.sin(angle)).alias("re"), F.sum(F.col("a") * F.sin(angle) + F.col("b") * F.cos(angle)).alias("im"))
 
 
+def dft_dense(image: DataFrame, keys: Keys) -> DataFrame:
+    """As ``dft``, by one FFT an image."""
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        f = np.fft.fft2(a)
+        return {"re": f.real, "im": f.imag}
+
+    return convolve.dense_columns(image, keys, run, ("re", "im")).withColumnsRenamed({"y": "ky", "x": "kx"}).select(*keys, "ky", "kx", "re", "im", "h", "w")
+
+
 def inverse_dft(spectrum: DataFrame, keys: Keys) -> DataFrame:
     """keys, y, x, v: the real part of the inverse transform; missing frequencies count as 0."""
     rows = spectrum.select(*keys, "h", "w", "ky", "kx", "re", "im", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
@@ -63,10 +74,13 @@ def agreement(cross: Column, a: Column, b: Column, same: Column) -> Column:
     return F.when(energy > 0, cross / F.sqrt(F.when(energy > 0, energy).otherwise(1.0))).when(same, 1.0).otherwise(0.0)
 
 
-def radial_curve(reference: DataFrame, other: DataFrame, keys: Keys, bins: int) -> DataFrame:
-    """One row an image and bin of the normalised radius; the last bin is closed; bins without samples have null values and count 0."""
+def radial_curve(reference: DataFrame, other: DataFrame, keys: Keys, bins: int, transform=dft) -> DataFrame:
+    """One row an image and bin of the normalised radius; the last bin is closed; bins without samples have null values and count 0.
+
+    ``transform`` is ``dft`` or ``dft_dense``.
+    """
     shared = [k for k in keys if k in reference.columns]
-    pair = dft(other, keys).join(dft(reference, shared).select(*shared, "ky", "kx", F.col("re").alias("rr"), F.col("im").alias("ri")), [*shared, "ky", "kx"]).withColumn("r", radius())
+    pair = transform(other, keys).join(transform(reference, shared).select(*shared, "ky", "kx", F.col("re").alias("rr"), F.col("im").alias("ri")), [*shared, "ky", "kx"]).withColumn("r", radius())
     edges = np.linspace(0, 1, bins + 1)
     guess = F.least(F.floor(F.col("r") * bins), F.lit(bins - 1))
     edge = F.array(*(F.lit(float(e)) for e in edges))
@@ -117,9 +131,11 @@ def high_pass(image: DataFrame, keys: Keys, cutoff: float = 0.6) -> DataFrame:
 
 
 def high_pass_array(image: np.ndarray, cutoff: float) -> np.ndarray:
-    fy, fx = np.fft.fftfreq(image.shape[0]), np.fft.fftfreq(image.shape[1])
-    keep = np.hypot(fy[:, None], fx[None]) / 0.5 >= cutoff
-    return np.fft.ifft2(np.fft.fft2(image) * keep).real
+    h, w = image.shape
+    sy, sx = (np.where(np.arange(n) < (n + 1) // 2, np.arange(n), np.arange(n) - n) for n in (h, w))
+    square = np.sqrt((sy[:, None] ** 2 + sx[None] ** 2).astype(float)) * 2 / h  # as ``radius``, so that both routes keep the same
+    far = square if h == w else np.hypot(sy[:, None] / h, sx[None] / w) * 2
+    return np.fft.ifft2(np.fft.fft2(image) * (far >= cutoff)).real
 
 
 def high_pass_dense(image: DataFrame, keys: Keys, cutoff: float = 0.6) -> DataFrame:

@@ -18,10 +18,10 @@ def against_truth(truth: DataFrame, reconstructions: DataFrame, keys: Keys, bins
     pairs = pixel.paired(truth, reconstructions, keys)
     rows = pixel.metrics(pairs, keys)
     shared = [k for k in keys if k in truth.columns]
-    curve = spectral.radial_curve(truth, reconstructions, keys, bins)
+    curve = spectral.radial_curve(truth, reconstructions, keys, bins, spectral.dft_dense)
     limit = spectral.recovery_limit(curve, keys, threshold).withColumnRenamed("recovery_limit", "correlation_0_5_limit_fraction")
     beyond = spectral.beyond_diffraction(curve, keys, diffraction)
-    high = pixel.paired(spectral.high_pass(truth, shared, cutoff), spectral.high_pass(reconstructions, keys, cutoff), keys)
+    high = pixel.paired(spectral.high_pass_dense(truth, shared, cutoff), spectral.high_pass_dense(reconstructions, keys, cutoff), keys)
     false = spectral.false_detail(high, keys, multiplier)
     columns = ["bin", "frequency_min_fraction", "frequency_max_fraction", "frequency_mid_fraction", "sample_count", "fourier_sample_count", "correlation", "phase_correlation", "amplitude_recovery"]
     bins_ = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("bins"))  # as many as there are bins

@@ -25,7 +25,8 @@ def telescope_reference(source: DataFrame, keys: Keys, sigma_px: float, dem: Dat
     if projection is not None:
         image = gather.inverse_sampled(image, keys, *(F.lit(float(x)) for x in projection), eps=1e-12)
     if airy_r0 is not None:
-        return convolve.convolved(image, convolve.airy_kernel(image.sparkSession, airy_r0, obstruction), keys)
+        kernel = convolve.airy_array(airy_r0, obstruction)  # thousands of offsets a pixel: by the Fourier transform, one image a row
+        return convolve.dense(image, keys, lambda a: convolve.convolve_array(a, kernel))
     return convolve.gaussian(image, keys, sigma_px)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import array_of, image_table, structured
 from stillwater.operators import convolve, estimate, gather, pixel, rank, spectral
+from stillwater.plans import render
 
 KEYS = ["image_id"]
 
@@ -140,6 +141,38 @@ def test_spectrum_equals_fft_and_inverts(spark):
     assert np.allclose(array_of(spectral.high_pass_dense(t, KEYS, 0.6)), spectral.high_pass_array(a, 0.6))
 
 
+@pytest.mark.parametrize("shape", [(10, 10), (9, 6)])
+def test_dense_and_relational_spectra_agree(spark, shape):
+    a, b = structured(12)[: shape[0], : shape[1]], structured(12).T[: shape[0], : shape[1]] ** 2
+    truth, made = image_table(spark, a=a).drop("image_id"), image_table(spark, b=b, c=a)
+    for cutoff in (0.6, 0.4):  # frequencies on the cutoff stay in both
+        plain, dense = (f(made, KEYS, cutoff) for f in (spectral.high_pass, spectral.high_pass_dense))
+        for name in "bc":
+            assert np.allclose(array_of(dense, image_id=name), array_of(plain, image_id=name), atol=1e-9)
+    plain, dense = (spectral.radial_curve(truth, made, KEYS, 4, f).orderBy("image_id", "bin").toPandas() for f in (spectral.dft, spectral.dft_dense))
+    assert list(plain.columns) == list(dense.columns) and (plain.fourier_sample_count == dense.fourier_sample_count).all()
+    assert np.allclose(plain.drop(columns="image_id").astype(float), dense.drop(columns="image_id").astype(float), atol=1e-9, equal_nan=True)
+
+
+def test_dense_spectra_of_large_and_of_no_images(spark):
+    a = structured(256)
+    t = image_table(spark, a=a)
+    curve = spectral.radial_curve(t, t, KEYS, 8, spectral.dft_dense).toPandas()
+    assert len(curve) == 8 and np.allclose(curve.correlation, 1)
+    assert spectral.dft_dense(t.filter("false"), KEYS).isEmpty() and spectral.dft_dense(t.filter("false").drop("image_id"), []).isEmpty()
+
+
+@pytest.mark.parametrize("obstruction", [0.0, 0.3])
+def test_airy_weights_and_both_routes_agree(spark, obstruction):
+    a, weights = structured(20)[:, :14], convolve.airy_array(0.9, obstruction)
+    radius = len(weights) // 2
+    kernel = convolve.airy_kernel(spark, 0.9, obstruction)
+    assert np.allclose(array_of(kernel.selectExpr(f"oy + {radius} as y", f"ox + {radius} as x", "weight as v")), weights, atol=1e-12)
+    plain = array_of(convolve.convolved(image_table(spark, a=a), kernel, KEYS))
+    assert np.allclose(array_of(convolve.dense(image_table(spark, a=a), KEYS, lambda x: convolve.convolve_array(x, weights))), plain, atol=1e-9)
+    assert np.allclose(array_of(render.telescope_reference(image_table(spark, a=a), KEYS, 0.0, airy_r0=0.9, obstruction=obstruction)), plain, atol=1e-9)
+
+
 def test_identity_recovers_all_frequencies_and_sign_flips_are_unsupported(spark):
     a = structured(16)
     t = image_table(spark, a=a)
