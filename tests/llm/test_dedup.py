@@ -177,6 +177,29 @@ def test_repeats_equal_brute_force(spark, shard):
     assert sorted((key(r["doc_id"]), *tuple(r)[1:]) for r in got) == brute_repeats([(i, t or "") for i, t in rows])
 
 
+def test_a_passage_in_every_shard(spark):
+    """Cut differently in each text, so that its runs are not equal and their strings are merged; rows without identifier are one shard."""
+    passage = cases.words(71, 120)
+    rows = [(i, cases.words(200 + i, 25) + " " + passage[7 * i % 90 : 260 + 11 * i % 140] + " " + cases.words(400 + i, 10)) for i in range(40)]
+    rows += [(None, passage[i : 150 + i]) for i in range(0, 60, 3)]
+    got = suffix.deduplicated(cases.documents(spark, rows), digest=True, shard_bytes=600, bucket_bytes=2000).collect()
+    assert sorted((key(r["doc_id"]), *tuple(r)[1:]) for r in got) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_of_sorted_strings(seed):
+    rng = np.random.default_rng(seed)
+    every = [bytes(r) for r in rng.integers(0, 3, (60, suffix.LENGTH)).astype(np.uint8)] + [b"a" * (suffix.LENGTH - k) + b"\0" * k for k in range(4)]
+    held = [(s, o) for o in range([1, 2, 5, 8][seed]) for s in rng.permutation(len(every))[: rng.integers(1, len(every))].tolist()]
+    origin = rng.permutation(len(held))
+    first = {}
+    for (s, _), at in zip(held, origin, strict=True):
+        first[s] = min(first.get(s, at), at)
+    strings = np.frombuffer(b"".join(every[s] for s, _ in held), f"S{suffix.LENGTH}")
+    got = suffix.starts_earlier(strings, origin, np.array([o for _, o in held]))
+    assert got.tolist() == [at != first[s] for (s, _), at in zip(held, origin, strict=True)]
+
+
 def test_repeats_of_an_empty_table_and_the_bytes_left(spark):
     assert suffix.deduplicated(cases.empty(spark), digest=True).count() == 0
     text = cases.words(3, 60)
