@@ -249,6 +249,20 @@ def import_result(a: argparse.Namespace) -> int:
     return 0
 
 
+def spice_readiness(a: argparse.Namespace) -> int:
+    from stillwater.plans import ephemeris
+
+    reports.write_json(ephemeris.kernel_report(session(), a.observation, a.manifest, a.root), a.out)
+    return 0
+
+
+def spice_observation(a: argparse.Namespace) -> int:
+    from stillwater.plans import ephemeris
+
+    reports.write_json(ephemeris.geometry_report(session(), a.observation, a.root), a.out)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stillwater")
     sub = p.add_subparsers(required=True)
@@ -272,6 +286,9 @@ def parser() -> argparse.ArgumentParser:
     command("import-result", import_result, result, out, (["--name"], {"required": True}), (["--source"], {}))
     command("fetch-metadata", fetch_metadata, (["--root"], {"required": True}), (["manifests"], {"nargs": "+"}))
     command("fetch-labels", fetch_labels, (["--root"], {"required": True}), (["manifests"], {"nargs": "+"}))
+    sky = [(["--observation"], {"required": True}), (["--root"], {"default": "."})]
+    command("spice-readiness", spice_readiness, out, (["--manifest"], {"required": True}), *sky)
+    command("spice-observation", spice_observation, out, *sky)
     command("report", report, out, (["metrics"], {}))
     command("compare", compare, out, (["--format"], {"default": "markdown", "choices": ["markdown", "json"]}), (["metrics"], {"nargs": "+"}))
     command("synthetic-sweep", sweep, out, (["--config"], {}))

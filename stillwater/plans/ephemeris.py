@@ -6,11 +6,15 @@ that follows from them is column algebra, so that any number of observations is
 
 from __future__ import annotations
 
+import importlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.functions import geometry
+from stillwater.functions import geometry, text
 from stillwater.operators import datasets
+from stillwater.plans import products
 
 MOON_RADIUS_KM = 1737.4
 NEEDED = (("utc_start", "utc_start"), ("observer.latitude", "observer.latitude"), ("observer.longitude", "observer.longitude"), ("observer.altitude_m", "observer.altitude_m"))
@@ -84,3 +88,79 @@ def vectors(rows: DataFrame, library) -> DataFrame:
         moon, sun = (np.asarray(library.spkpos(a, et, "J2000", "LT+S", b)[0], float) for a, b in (("MOON", "EARTH"), ("SUN", "MOON")))
         out.append((o["path"], here.tolist(), moon.tolist(), sun.tolist(), np.asarray(library.pxform("J2000", "MOON_ME", et), float).ravel().tolist()))
     return rows.sparkSession.createDataFrame(out, VECTORS)
+
+
+LIBRARY = "spiceypy"
+
+
+def installed():
+    """The optional ephemeris library, or None."""
+    try:
+        return importlib.import_module(LIBRARY)
+    except ModuleNotFoundError as missing_:
+        if missing_.name == LIBRARY:
+            return None
+        raise
+
+
+def declared(rows: DataFrame) -> list[str]:
+    """The kernels that an observation names, each once."""
+    return list(dict.fromkeys(k for r in rows.select("spice.kernels").collect() for k in r[0] or []))
+
+
+def kernel_report(spark: SparkSession, observation: str, manifest: str, root: str, library=None) -> dict:
+    """Whether an observation's kernels are there and sound by the manifest's checksum table. A kernel is read whole: below 2 GB each."""
+    rows = observations(spark, observation)
+    plan = products.manifests(spark, manifest).select("local_destination", "metadata_documents").first()
+    tables = [d["local_path"] for d in plan["metadata_documents"] or [] if "checksum" in os.path.basename(d["local_path"]).lower()]
+    tables.sort(key=lambda d: os.path.basename(d).lower() != "checksum.tab")
+    place = os.path.join(root, tables[0]) if tables else None
+    there = place is not None and os.path.exists(place)
+    lines = spark.read.text(place).withColumn("line_no", F.monotonically_increasing_id()) if there else spark.createDataFrame([], "value string, line_no long")
+    table = datasets.checksum_table(lines)
+    counts = {r["kind"]: r["n"] for r in table.groupBy(text.kernel_type(F.col("archive_path")).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a type
+    known = {kind: n for kind, n in sorted(counts.items()) if kind != "unknown"}
+
+    kernels, prefix = declared(rows), (plan["local_destination"] or "").rstrip("/") + "/"
+    local = {k.replace("\\", "/").removeprefix(prefix): os.path.abspath(os.path.join(root, k)) for k in kernels}
+    names = spark.createDataFrame(list(local.items()), "path string, local_path string")
+    present = [p for p in local.values() if os.path.isfile(p)]
+    files = spark.createDataFrame([], "local_path string, content binary")
+    if present:
+        files = spark.read.format("binaryFile").load(present).select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("local_path"), "content")
+    held = names.join(files, "local_path", "left")
+    statuses = datasets.kernel_statuses(held.select("path", "content"), table)
+    listed = statuses.join(held.select("path", "local_path", F.md5("content").alias("computed_md5")), "path").join(table.withColumnRenamed("md5", "expected_md5"), "archive_path", "left").drop("path")
+
+    status = "not_declared" if place is None else "missing" if not there else "ok" if counts else "empty"
+    reasons = set(missing(rows).first()["reasons"]) | set(datasets.blocking_reasons(statuses).first()["blocking_reasons"])
+    reasons |= {f"checksum_table_{status}"} - {"checksum_table_ok"}
+    has_library = (library or installed()) is not None
+    reasons |= set() if has_library else {f"{LIBRARY}_not_installed"}
+    return {
+        "observation": observation, "manifest": manifest, "cache_root": root, f"{LIBRARY}_available": has_library, "ready": not reasons, "blocking_reasons": sorted(reasons),
+        "missing_observation_fields": [r.removeprefix("missing_") for r in missing(rows).first()["reasons"]],
+        "checksum_table": {"path": place, "status": status, "entry_count": sum(counts.values()), "kernel_entry_count": sum(known.values()), "kernel_type_counts": known},
+        "kernels": [r.asDict() for r in listed.orderBy("archive_path").collect()],
+        "limitations": ["kernels are checked, no geometry is computed", "only kernels that the observation lists are looked at"],
+    }
+
+
+def geometry_report(spark: SparkSession, observation: str, root: str, library=None) -> dict:
+    """The geometry of an observation from its local kernels, or why there is none."""
+    rows, library = observations(spark, observation), library or installed()
+    kernels = [os.path.join(root, k) for k in declared(rows)]
+    reasons = set(missing(rows).first()["reasons"]) | ({"kernel_file_missing"} if not all(map(os.path.isfile, kernels)) else set())
+    reasons |= {f"{LIBRARY}_not_installed"} if library is None else set()
+    found = None
+    if not reasons:
+        try:
+            for k in kernels:
+                library.furnsh(k)
+            found = derived(vectors(rows, library)).drop("observation").first().asDict()
+        except Exception as error:  # the library's own errors have no common type
+            reasons = {f"spice_geometry_error: {error}"}
+        finally:
+            if hasattr(library, "kclear"):
+                library.kclear()
+    return {"observation": observation, "cache_root": root, "ready": not reasons, "blocking_reasons": sorted(reasons), "kernels": kernels, "geometry": found, "limitations": ["geometry of the observation alone: no pixel is projected", "kernels are not downloaded"]}
