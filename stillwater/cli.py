@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +133,12 @@ def diagnostics(a: argparse.Namespace) -> int:
 def evaluate_reference(a: argparse.Namespace) -> int:
     spark = session()
     reference = images.pixels(images.load(spark, a.reference)).drop("path")
-    rows = evaluate.against_reference(reference, spark.read.parquet(a.result), ["case_id", "algorithm"], a.registration, a.photometry, a.limitation, bins=a.bins)
+    record = reports.read_json(a.record) if a.record else None
+    begun = time.monotonic()
+    rows = evaluate.against_reference(reference, spark.read.parquet(a.result), ["case_id", "algorithm"], a.registration, a.photometry, a.limitation, record=record, output=a.reference, bins=a.bins)
     got = [r.asDict(True) for r in evaluate.nested(rows, ["case_id", "algorithm"]).join(rows.select("case_id", "algorithm", "uncertainty", "risk_level"), ["case_id", "algorithm"]).collect()]
+    known = {"benchmark_mode": "standalone_reference", **evaluate.reference_metadata(record, a.reference, a.limitation), "evaluation_runtime_s": time.monotonic() - begun}
+    got = [{**r, "metadata": known} for r in got]
     reports.write_json({"reports": got, "provenance": study.provenance()}, a.out)
     return 0
 
@@ -292,7 +297,7 @@ def parser() -> argparse.ArgumentParser:
     command("report", report, out, (["metrics"], {}))
     command("compare", compare, out, (["--format"], {"default": "markdown", "choices": ["markdown", "json"]}), (["metrics"], {"nargs": "+"}))
     command("synthetic-sweep", sweep, out, (["--config"], {}))
-    command("evaluate-reference", evaluate_reference, result, out, (["--reference"], {"required": True}), (["--registration"], {"default": "none", "choices": ["none", "integer_phase_correlation_translation"]}), (["--photometry"], {"default": "none", "choices": ["none", "linear_least_squares"]}), (["--limitation"], {"action": "append", "default": []}), (["--bins"], {"type": int, "default": 32}))
+    command("evaluate-reference", evaluate_reference, result, out, (["--reference"], {"required": True}), (["--registration"], {"default": "none", "choices": ["none", "integer_phase_correlation_translation"]}), (["--photometry"], {"default": "none", "choices": ["none", "linear_least_squares"]}), (["--limitation"], {"action": "append", "default": []}), (["--record"], {}), (["--bins"], {"type": int, "default": 32}))
     command("builtin-baselines", builtin_study, case, out, (["--block"], {"type": int, "default": 32}), (["--bins"], {"type": int, "default": 32}))
     command("telescope-reference", render_reference, out, (["--source"], {"required": True}), (["--sigma"], {"type": float, "default": 1.656}), (["--airy-r0"], {"type": float}))
     command("validate-manifest", validate_manifest, (["manifests"], {"nargs": "+"}))

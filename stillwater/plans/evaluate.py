@@ -86,6 +86,16 @@ def reference_row(record: dict | None, path: str) -> dict:
     return next((r for r in rows if str(r.get("output")) == path), rows[0] if len(rows) == 1 else {})
 
 
+def reference_metadata(record: dict | None, output: str, limitations: Sequence[str] = ()) -> dict:
+    """What a report says of the reference that it was made against."""
+    row, told = reference_row(record, output), (record or {}).get("limitations")
+    return {
+        "reference_limitations": [*limitations, *(map(str, told) if isinstance(told, list) else ())],
+        "reference_provenance": row.get("label_provenance") or {},
+        "reference_generation": {k: row[k] for k in GENERATION if k in row},
+    }
+
+
 def factor(source: Column | str, level: Column | str, description: str, candidates: int | None = None) -> Column:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(text(source).alias("source"), text(level).alias("level"), F.lit(description).alias("description"), F.lit(candidates).cast("int").alias("candidate_count"))

@@ -41,15 +41,29 @@ def table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join(lines)
 
 
+def listing(title: str, lines: list[str]) -> list[str]:
+    """A section of a list; nothing without lines."""
+    return [f"## {title}", "", *(f"- {line}" for line in lines), ""] if lines else []
+
+
 def metrics_markdown(report: dict) -> str:
-    """One report: a summary, then a section for each group of metrics."""
-    out = [f"# {report.get('algorithm', 'reconstruction')}", "", f"Mode: {(report.get('metadata') or {}).get('benchmark_mode', 'unknown')}", ""]
+    """One report: a summary, a section for each group of metrics, and what is known of its reference and diagnostics."""
+    known = report.get("metadata") or {}
+    out = [f"# {report.get('algorithm', 'reconstruction')}", "", f"Mode: {known.get('benchmark_mode', 'unknown')}", ""]
+    times = {name: known.get(f"{name}_runtime_s") for name in ("reconstruction", "evaluation")}
+    out += listing("Runtime", [f"{name}: {shown(v)} s" for name, v in times.items() if v is not None])
     for section in ("image_similarity", "structural_accuracy", "frequency_recovery", "false_detail", "warp_recovery"):
         values = report.get(section)
         if not values:
             continue
         flat = {k: v for k, v in values.items() if not isinstance(v, (list, dict))}
         out += [f"## {section.replace('_', ' ').capitalize()}", "", table([{"metric": k, "value": v} for k, v in flat.items()], ["metric", "value"]), ""]
+    out += listing("Reference limitations", [f"`{x}`" for x in known.get("reference_limitations") or []])
+    factors = [f"`{f['level']}` `{f['source']}`: {f.get('description') or ''}" for f in report.get("uncertainty") or []]
+    out += listing("Reference uncertainty", [f"Risk level: `{report.get('risk_level', 'unknown')}`", *factors] if factors else [])
+    for section in ("reference_provenance", "reference_generation", "diagnostics"):
+        values = (report if section == "diagnostics" else known).get(section) or {}
+        out += listing(section.replace("_", " ").capitalize(), [f"{k}: `{v}`" for k, v in values.items() if v is not None])
     return "\n".join(out)
 
 

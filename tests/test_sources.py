@@ -296,3 +296,27 @@ def test_directory_size_and_reference_by_role(spark, tmp_path):
     assert products.directory_size(spark, str(tmp_path)) == 7
     rows = spark.createDataFrame([(1, "terrain", "t"), (0, "albedo", "a"), (2, "terrain", "u")], "ordinal int, role string, output string")
     assert render.chosen(rows).first()["output"] == "a" and render.chosen(rows, "terrain").first()["output"] == "t" and render.chosen(rows, "none").isEmpty()
+
+
+def test_markdown_report_tells_of_the_reference():
+    record = {"limitations": ["not_spice_backed"], "references": [{"output": "r.tiff", "method": "gaussian", "label_provenance": {"title": "A mosaic"}}]}
+    known = evaluate.reference_metadata(record, "r.tiff", ["asked"])
+    assert known["reference_limitations"] == ["asked", "not_spice_backed"] and known["reference_generation"] == {"output": "r.tiff", "method": "gaussian"}
+    report = {"algorithm": "x", "image_similarity": {"mse": 0.5}, "risk_level": "high", "uncertainty": [{"source": "s", "level": "high", "description": "why"}], "metadata": {**known, "evaluation_runtime_s": 1.5}, "diagnostics": {"residual": "a.png"}}
+    text = reports.metrics_markdown(report)
+    for part in ("- `not_spice_backed`", "- Risk level: `high`", "- `high` `s`: why", "- title: `A mosaic`", "- method: `gaussian`", "- evaluation: 1.5 s", "- residual: `a.png`", "| mse | 0.5 |"):
+        assert part in text
+    assert "##" not in reports.metrics_markdown({"algorithm": "x"})
+    assert evaluate.reference_metadata(None, "r") == {"reference_limitations": [], "reference_provenance": {}, "reference_generation": {}}
+
+
+def test_evaluation_against_a_reference_writes_what_is_known_of_it(spark, tmp_path):
+    reference, out = str(tmp_path / "r.npy"), str(tmp_path / "m.json")
+    np.save(reference, structured(8))
+    image_table(spark, a=structured(8)).selectExpr("'c' AS case_id", "image_id AS algorithm", "y", "x", "v").write.parquet(str(tmp_path / "made"))
+    record = reports.write_json({"limitations": ["not_spice_backed"], "references": [{"output": reference, "method": "gaussian"}]}, str(tmp_path / "record.json"))
+    assert cli.main(["evaluate-reference", "--result", str(tmp_path / "made"), "--reference", reference, "--record", record, "--bins", "4", "--out", out]) == 0
+    got = reports.read_json(out)["reports"][0]
+    assert got["metadata"]["reference_generation"]["method"] == "gaussian" and got["metadata"]["evaluation_runtime_s"] > 0
+    assert cli.main(["report", out, "--out", str(tmp_path / "r.md")]) == 0
+    assert "- `not_spice_backed`" in (tmp_path / "r.md").read_text()
