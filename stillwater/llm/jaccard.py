@@ -543,10 +543,12 @@ def second_pass(sets: DataFrame, links: DataFrame, rounds: int = 3) -> DataFrame
     root = roots(links)
     rows = cut(with_root(sets.select("cls", "n", "sh", "rare").mapInArrow(tidy(index_second()), "cls long, n int, rare int, band int, seg int, kind int, key long, units int, need int"), root, "cls"))
     held = rows.filter("kind <= 1").select("kind", "key", F.col("cls").alias("other"), F.col("n").alias("n_other"), F.col("rare").alias("rare_other"), F.col("root_cls").alias("root_other"))
-    by_key = held.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("holders"), F.min("root_other").alias("low"), F.max("root_other").alias("high")).filter("low <> high")
+    by_key = held.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("holders"), F.min("root_other").alias("low"), F.max("root_other").alias("high"))
     probe = rows.filter("kind >= 2").withColumn("kind", F.when(F.col("kind") == 3, 1).otherwise(0))
-    # a key that only the class's own component holds costs nothing, and need not be sent where it costs nothing
-    priced = probe.join(by_key, ["kind", "key"], "left").withColumn("price", F.coalesce("holders", F.lit(0))).select("cls", "n", "rare", "root_cls", "band", "seg", "need", "kind", "key", "units", "price")
+    # a key that only the class's own component holds costs nothing, and need not be sent where it costs nothing;
+    # one other component that holds it alone is priced, for a class does not hold all the keys that it asks for
+    own = (F.col("low") == F.col("root_cls")) & (F.col("high") == F.col("root_cls"))
+    priced = probe.join(by_key, ["kind", "key"], "left").withColumn("price", F.when(own, 0).otherwise(F.coalesce("holders", F.lit(0)))).select("cls", "n", "rare", "root_cls", "band", "seg", "need", "kind", "key", "units", "price")
     sent = settled(priced.groupBy("cls").applyInArrow(allotments, "kind int, key long, cls long, n_cls int, rare int, root_cls long"))
     forget(sets.sparkSession)
     buckets = max(1, math.ceil(held.count() / 1_000_000))

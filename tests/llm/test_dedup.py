@@ -146,6 +146,25 @@ def test_a_family_of_distant_copies_equals_brute_force(spark):
         assert sorted((key(r["doc_id"]), r["n_shingles"], key(r["component_id"])) for r in got) == brute_components(rows)
 
 
+def tables_of_sets(spark, sets, links=()):
+    rows = [(c, len(s), sorted(s)) for c, s in sets.items()]
+    return spark.createDataFrame(rows, "cls long, n int, sh array<long>"), spark.createDataFrame(list(links), "a long, b long")
+
+
+def linked_sets(sets):
+    return {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def test_a_link_whose_keys_one_other_component_holds_alone(spark):
+    """Every shingle is frequent, and the larger set's keys in the smaller one's band are the smaller one's alone."""
+    rng = np.random.default_rng(12)
+    keys = rng.integers(-(2**62), 2**62, 64).tolist()
+    sets = {1: set(keys[:48]), 2: set(keys)} | {3 + i: set(rng.choice(keys, 32, replace=False).tolist()) for i in range(120)}
+    assert min(sum(k in s for s in sets.values()) for k in keys) > jaccard.FREQUENT and linked_sets(sets) == {(1, 2)}
+    got = jaccard.second_pass(*tables_of_sets(spark, sets), rounds=0).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(1, 2)}
+
+
 def test_differences_are_never_overrated():
     rng = np.random.default_rng(9)
     for _ in range(300):
