@@ -517,15 +517,26 @@ def apart(na, nb, rare_a, rare_b, shared):
     return (2 * (rare_a - shared) + nb - na), (2 * (rare_b - shared) + na - nb), (rare_a + rare_b - 2 * shared)
 
 
+def rare_prefixes(sets: DataFrame, root: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The rows (cls, n, key, root_cls, rank) of each class's first floor(n / 4) + 1 shingles, fewest holders first, that several components and at most ``most`` classes hold.
+
+    Two linked classes share all but a quarter of either. So the first shingle they share has at most floor(n / 4) others
+    before it in either class, and it is rare if they share any rare one.
+    """
+    rows = with_root(sets.select("cls", "n", F.explode("sh").alias("key")), root, "cls")
+    few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("root_cls").alias("low"), F.max("root_cls").alias("high")).filter(F.col("k") <= most).select("key", "k", (F.col("low") != F.col("high")).alias("shared"))
+    ranked = rows.join(few, "key").withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("k", "key")))
+    return cut(ranked.filter(F.col("shared") & (F.col("rank") <= F.floor(F.col("n") / 4) + 1)).select("cls", "n", "key", "root_cls", "rank"))
+
+
 def rare_pairs(sets: DataFrame, root: DataFrame, most: int = FREQUENT) -> DataFrame:
     """The pairs of classes of different components that share rare shingles and may link."""
-    rows = with_root(sets.select("cls", "n", "rare", F.explode("sh").alias("key")), root, "cls")
-    few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("root_cls").alias("parts")).filter(f"k <= {most} AND parts > 1").select("key")
-    rows = cut(rows.join(few, "key"))
-    side = lambda x: rows.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("rare").alias(f"rare_{x}"), F.col("root_cls").alias(f"root_{x}"))
+    rows = rare_prefixes(sets, root, most)
+    side = lambda x: rows.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("root_cls").alias(f"root_{x}"), (F.col("rank") - 1).alias(f"before_{x}"))
     near = "a < b AND root_a <> root_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-    pairs = side("a").join(side("b"), "key").filter(near).groupBy("a", "b", "n_a", "n_b", "rare_a", "rare_b").agg(F.count(F.lit(1)).alias("shared"))
-    least = F.greatest(*apart(*map(F.col, ("n_a", "n_b", "rare_a", "rare_b", "shared"))))
+    pairs = side("a").join(side("b"), "key").filter(near).groupBy("a", "b", "n_a", "n_b").agg(F.min("before_a").alias("before_a"), F.min("before_b").alias("before_b"))
+    # what comes before the first shared one is in one of the two alone
+    least = F.greatest(*apart(*map(F.col, ("n_a", "n_b", "before_a", "before_b")), 0))
     return settled(pairs.filter(7 * least <= F.col("n_a") + F.col("n_b")).select("a", "b"))
 
 

@@ -165,6 +165,24 @@ def test_a_link_whose_keys_one_other_component_holds_alone(spark):
     assert {(r["a"], r["b"]) for r in got} == {(1, 2)}
 
 
+def test_rare_prefixes_meet_every_link_and_little_else(spark):
+    """Copies of a base that differ in three tenths or less: all links are met by the prefixes, by less than a quarter of the shared shingles."""
+    rng = np.random.default_rng(13)
+    keys = rng.integers(-(2**62), 2**62, 2000).tolist()
+    sets = {}
+    for i in range(60):
+        own = keys[100 * (i % 3) : 100 * (i % 3) + 100]
+        gone = set(rng.choice(100, int(rng.integers(2, 30)), replace=False).tolist())
+        sets[i + 1] = {k for at, k in enumerate(own) if at not in gone} | set(rng.choice(keys[300:], len(gone) // 2, replace=False).tolist())
+    table, links = tables_of_sets(spark, sets)
+    rows = jaccard.rare_prefixes(table, jaccard.roots(links)).collect()
+    joined = [(x["cls"], y["cls"]) for x in rows for y in rows if x["key"] == y["key"] and x["cls"] < y["cls"]]
+    met = set(joined)
+    assert linked_sets(sets) <= met and len(joined) < sum(len(sets[a] & sets[b]) for a in sets for b in sets if a < b) / 4
+    pairs = {(r["a"], r["b"]) for r in jaccard.rare_pairs(jaccard.rare_counts(table), jaccard.roots(links)).collect()}
+    assert linked_sets(sets) <= pairs <= met
+
+
 def test_differences_are_never_overrated():
     rng = np.random.default_rng(9)
     for _ in range(300):
