@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.operators import gather, pixel
+from stillwater.operators import arrays, gather, pixel
 
 Keys = Sequence[str]
 
@@ -109,6 +109,22 @@ def registration(reference: DataFrame, moving: DataFrame, keys: Keys, rotations:
     return error.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n").withColumn("method", F.lit(method))
 
 
+def registration_whole(reference: DataFrame, moving: DataFrame, keys: Keys, rotations: Sequence[float], scales: Sequence[float], shears_x: Sequence[float] = (0.0,), shears_y: Sequence[float] = (0.0,)) -> DataFrame:
+    """As ``registration``, of images of one row each (``arrays.images``): a candidate at a time is made and compared."""
+    grid = list(itertools.product(rotations, scales, shears_x, shears_y))
+
+    def run(stack: np.ndarray, ref: np.ndarray) -> dict[str, np.ndarray]:
+        errors = np.stack([((gather.affine_stack(stack, *c) - ref) ** 2).mean((1, 2)) for c in grid], 1)
+        first = np.where(np.isnan(errors), np.inf, errors).argmin(1)  # as in SQL, where NaN is the greatest
+        return {"ordinal": first.astype("int32"), "mse": errors[np.arange(len(first)), first]}
+
+    best = arrays.mapped(arrays.joined(reference, moving, keys), keys, run, sources=("data", "ref"), scalars="ordinal int, mse double")
+    table = F.array(*(F.struct(*(F.lit(float(x)).alias(n) for n, x in zip(("rotation", "scale", "shear_x", "shear_y"), c, strict=True))) for c in grid))
+    method = "global_affine_grid_search" if any(s != 0 for s in (*shears_x, *shears_y)) else "global_similarity_grid_search"
+    chosen = F.element_at(table, F.col("ordinal") + 1)
+    return best.select(*keys, "ordinal", *(chosen[n].alias(n) for n in ("rotation", "scale", "shear_x", "shear_y")), "mse", F.lit(method).alias("method"))
+
+
 def aligned_stack(frames: DataFrame, field: DataFrame, case: Keys, frame: str = "frame") -> DataFrame:
     """Mean of frames warped back by their fields, clipped."""
     back = field.withColumns({"u": -F.col("u"), "w_v": -F.col("w_v")})

@@ -3,8 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from helpers import image_table, structured
 
+from stillwater.operators import estimate, pixel
 from stillwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +25,11 @@ def test_no_pixel_is_sent(spark, name):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["registration_grid"])
+def test_only_the_stack_is_made_of_pixels(spark, name):
+    assert plan_of(catalog.QUERIES[name](spark, SF)).count("Generate ") <= 1
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_odd_images_equal_sql(spark, tmp_path, name):
     full = [((7 * i) % 11) / 16 - 0.25 for i in range(64)]
@@ -35,3 +43,12 @@ def test_odd_images_equal_sql(spark, tmp_path, name):
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*names).collect()
     text = lambda rows: sorted(repr(tuple(r)) for r in rows)
     assert text(got) == text(want.fetchall())
+
+
+def test_registration_over_whole_images_is_the_same(spark):
+    a = structured(12)
+    reference, moving = image_table(spark, a=a, b=a.T), image_table(spark, a=np.roll(a, 1, 0), b=a)
+    search = (["image_id"], (-5.0, 0.0), (1.0, 1.1), (0.0, 0.05))
+    rows = pixel.imploded(moving, ["image_id"])
+    got, want = (f.orderBy("image_id").toPandas() for f in (estimate.registration_whole(reference, rows, *search), estimate.registration(reference, moving, *search)))
+    assert got.drop(columns="mse").equals(want[got.columns].drop(columns="mse")) and np.allclose(got.mse, want.mse)
