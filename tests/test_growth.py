@@ -11,7 +11,7 @@ from stillwater.operators import estimate, pixel
 from stillwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-WHOLE = ["affine_sample", "const_warp"]
+WHOLE = ["affine_sample", "const_warp", "resize_align_corners"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
