@@ -5,9 +5,9 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from helpers import image_table, structured
+from helpers import array_of, image_table, structured
 
-from stillwater.operators import estimate, pixel
+from stillwater.operators import estimate, gather, pixel
 from stillwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", WHOLE)
+@pytest.mark.parametrize("name", [*WHOLE, "resize_pixel_centre"])
 def test_no_pixel_is_sent(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "Exchange" not in plan and "Join" not in plan
@@ -45,6 +45,16 @@ def test_odd_images_equal_sql(spark, tmp_path, name):
     assert text(got) == text(want.fetchall())
 
 
+@pytest.mark.parametrize("shape", [(2, 2), (5, 6), (9, 3)])
+def test_resizing_stacks_is_the_same(spark, shape):
+    a = structured(6)
+    a[0, :4] = a[3, 2] = np.nan
+    t = image_table(spark, a=a)
+    assert np.allclose(array_of(gather.resized_centres(t, ["image_id"], *shape)), gather.resized_centres_stack(a[None], *shape)[0], equal_nan=True)
+    t = image_table(spark, a=structured(6))
+    assert np.allclose(array_of(gather.resized(t, ["image_id"], *shape)), gather.resized_stack(structured(6)[None], *shape)[0])
+
+
 def test_registration_over_whole_images_is_the_same(spark):
     a = structured(12)
     reference, moving = image_table(spark, a=a, b=a.T), image_table(spark, a=np.roll(a, 1, 0), b=a)
