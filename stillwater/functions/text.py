@@ -20,6 +20,12 @@ PROVENANCE_KEYS = (
 )
 #: Kernel types by file suffix.
 KERNEL_TYPES = {".bc": "ck", ".bsp": "spk", ".tf": "fk", ".ti": "ik", ".tls": "lsk", ".tpc": "pck", ".tsc": "sclk"}
+#: The space separators of Unicode.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: Letters whose capitals take more than one character, with the one character that stands for them or themselves; then
+#: letters that have had capitals only since Unicode 16, which the SQL's engine does not know.
+SINGLE_CAPITALS = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+SINGLE_CAPITALS |= {c: c for c in map(chr, (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86)))}
 DIGESTS = ("md5", "sha1", "sha256")
 
 
@@ -31,6 +37,21 @@ def label_pairs(text: Column, keys: tuple[str, ...] | None = LABEL_KEYS) -> Colu
     return pairs if keys is None else F.filter(pairs, lambda p: p["key"].isin(*keys))
 
 
+def upper_singly(s: Column) -> Column:
+    """Upper case, letter by letter: the text keeps its length, as in the SQL."""
+    special = "".join(SINGLE_CAPITALS)
+    capitals = F.create_map(*(F.lit(x) for kv in SINGLE_CAPITALS.items() for x in kv))
+    pieces = F.split(s, f"(?<=[{special}])|(?=[{special}])")
+    return F.when(s.rlike(f"[{special}]"), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(capitals, p), F.upper(p))), "")).otherwise(F.upper(s))
+
+
+def line_pairs(text: Column) -> Column:
+    """key, value of every line with an equals sign as it stands: comments and carriage returns are text."""
+    lines = F.filter(F.split(text, "\n"), lambda s: s.contains("="))
+    bare = lambda s: F.btrim(s, F.lit(SPACES))
+    return F.transform(lines, lambda s: F.struct(upper_singly(bare(F.substring_index(s, "=", 1))).alias("key"), bare(F.substring(s, F.instr(s, "=") + 1, F.length(s))).alias("value")))
+
+
 def label_map(text: Column) -> Column:
     """The label as a map, the last value of a key winning."""
     pairs = label_pairs(text)

@@ -74,3 +74,11 @@ def test_unknown_products_may_have_keys_of_customers(spark, tmp_path):
     orders = [(3, 99999), (4, 99998), (6, 100001), (9, 100001), (12, 5)]
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
     assert_equals_sql(spark, tmp_path, "semi_anti_products")
+
+
+def test_keys_and_values_of_odd_lines_equal_sql(spark, tmp_path):
+    letters = "".join(chr(i) for i in range(0x20, 0x20000) if chr(i) != "=" and not 0xD800 <= i < 0xE000)
+    texts = ["straße = ß", "a /* b = c */ = d /* e */", "a = 1\r\nb = 2\rc = 3\n= \n=", "\u00a0ﬁn\u3000=\u2003x\t", "ŉ=a=b\n\nno", "", "ß", None]
+    texts += [f"x{c}{letters[i:i + 50]}{c}x={c}" for i, c in enumerate(letters) if i % 50 == 0]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert_equals_sql(spark, tmp_path, "label_parse_kv")
