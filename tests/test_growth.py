@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import array_of, image_table, structured
 
-from stillwater.operators import estimate, gather, pixel
+from stillwater.operators import convolve, estimate, gather, pixel
 from stillwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def assert_equals_sql(spark, folder, name):
     assert text(got) == text(want.fetchall())
 
 
-@pytest.mark.parametrize("name", [*WHOLE, "resize_pixel_centre"])
+@pytest.mark.parametrize("name", [*WHOLE, "resize_pixel_centre", "airy_blur_whole"])
 def test_no_pixel_is_sent(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "Exchange" not in plan and "Join" not in plan
@@ -60,6 +60,13 @@ def test_resizing_stacks_is_the_same(spark, shape):
     assert np.allclose(array_of(gather.resized(t, ["image_id"], *shape)), gather.resized_stack(structured(6)[None], *shape)[0])
 
 
+@pytest.mark.parametrize("shape", [(6, 9), (1, 5), (2, 1)])
+def test_convolving_stacks_is_the_same(spark, shape):
+    a = structured(9)[: shape[0], : shape[1]]
+    got = convolve.convolve_stack(a[None], convolve.airy_array(2.0, 0.0, 3.0))[0]
+    assert np.allclose(array_of(convolve.convolved(image_table(spark, a=a), convolve.airy_kernel(spark, 2.0, 0.0, 3.0), ["image_id"])), got)
+
+
 def test_registration_over_whole_images_is_the_same(spark):
     a = structured(12)
     reference, moving = image_table(spark, a=a, b=a.T), image_table(spark, a=np.roll(a, 1, 0), b=a)
