@@ -30,7 +30,7 @@ def assert_equals_sql(spark, folder, name):
     assert text(got) == text(want.fetchall())
 
 
-@pytest.mark.parametrize("name", [*WHOLE, "resize_pixel_centre", "airy_blur_whole"])
+@pytest.mark.parametrize("name", [*WHOLE, "resize_pixel_centre", "airy_blur_whole", "airy_blur"])
 def test_no_pixel_is_sent(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "Exchange" not in plan and "Join" not in plan
