@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.operators import convolve
+from stillwater.operators import arrays, convolve
 from stillwater.operators.gather import sizes
 
 Keys = Sequence[str]
@@ -130,8 +130,9 @@ def high_pass(image: DataFrame, keys: Keys, cutoff: float = 0.6) -> DataFrame:
     return inverse_dft(spectrum.withColumns({"re": F.col("re") * F.col("keep"), "im": F.col("im") * F.col("keep")}), keys)
 
 
-def high_pass_array(image: np.ndarray, cutoff: float) -> np.ndarray:
-    h, w = image.shape
+def high_pass_array(image: np.ndarray, cutoff: float = 0.6) -> np.ndarray:
+    """As ``high_pass``, of an image or a stack (n, h, w)."""
+    h, w = image.shape[-2:]
     sy, sx = (np.where(np.arange(n) < (n + 1) // 2, np.arange(n), np.arange(n) - n) for n in (h, w))
     square = np.sqrt((sy[:, None] ** 2 + sx[None] ** 2).astype(float)) * 2 / h  # as ``radius``, so that both routes keep the same
     far = square if h == w else np.hypot(sy[:, None] / h, sx[None] / w) * 2
@@ -162,3 +163,33 @@ def false_detail_map(high_pairs: DataFrame, keys: Keys, multiplier: float = 1.5)
     """Where the sign is wrong all of the detail, else what exceeds the supported amount."""
     value = F.when(F.col("v") * F.col("r") < 0, F.abs("v")).otherwise(F.greatest(F.abs("v") - multiplier * F.abs("r"), F.lit(0.0)))
     return high_pairs.select(*keys, "y", "x", value.alias("v"))
+
+
+def high_joined(reference: DataFrame, rows: DataFrame, keys: Keys) -> DataFrame:
+    """keys, h, w, data, ref: images of one row each beside the high-passed reference; they are high-passed where they are read."""
+    shared = [k for k in keys if k in reference.columns]
+    return arrays.joined(high_pass_dense(reference, shared), rows, keys)
+
+
+def false_detail_whole(joined: DataFrame, keys: Keys, multiplier: float = 1.5) -> DataFrame:
+    """As ``false_detail``, of images of one row each (``high_joined``)."""
+
+    def run(stack: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
+        v = high_pass_array(stack)
+        bad = (v * r < 0) | (np.abs(v) > multiplier * np.abs(r)) | (np.isnan(v) & ~np.isnan(r))
+        part, total = (a.sum((1, 2)) for a in (np.where(bad, v * v, 0.0), v * v))
+        fraction = np.where(total <= 0, 0.0, part / np.where(total <= 0, 1.0, total))
+        return {"unsupported_energy": part, "signed_residual_energy": ((v - r) ** 2).sum((1, 2)), "total_high_frequency_energy": total, "unsupported_energy_fraction": fraction}
+
+    names = ("unsupported_energy", "signed_residual_energy", "total_high_frequency_energy", "unsupported_energy_fraction")
+    return arrays.mapped(joined, keys, run, sources=("data", "ref"), scalars=", ".join(f"{n} double" for n in names))
+
+
+def false_detail_map_whole(joined: DataFrame, keys: Keys, multiplier: float = 1.5) -> DataFrame:
+    """As ``false_detail_map``, of images of one row each (``high_joined``)."""
+
+    def run(stack: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
+        v = high_pass_array(stack)
+        return {"v": np.where(v * r < 0, np.abs(v), np.maximum(np.abs(v) - multiplier * np.abs(r), 0.0))}
+
+    return arrays.pixels(arrays.mapped(joined, keys, run, sources=("data", "ref")), keys)

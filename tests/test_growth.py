@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import array_of, image_table, structured
 
-from stillwater.operators import convolve, estimate, gather, pixel
+from stillwater.operators import convolve, estimate, gather, pixel, spectral
 from stillwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,9 +36,9 @@ def test_no_pixel_is_sent(spark, name):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["registration_grid"])
-def test_only_the_stack_is_made_of_pixels(spark, name):
-    assert plan_of(catalog.QUERIES[name](spark, SF)).count("Generate ") <= 1
+@pytest.mark.parametrize(("name", "generated"), [("registration_grid", 1), ("false_detail", 2)])  # the high-passed stack is made of pixels again
+def test_only_the_stack_is_made_of_pixels(spark, name, generated):
+    assert plan_of(catalog.QUERIES[name](spark, SF)).count("Generate ") <= generated
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -89,3 +89,14 @@ def test_keys_and_values_of_odd_lines_equal_sql(spark, tmp_path):
     texts += [f"x{c}{letters[i:i + 50]}{c}x={c}" for i, c in enumerate(letters) if i % 50 == 0]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert_equals_sql(spark, tmp_path, "label_parse_kv")
+
+
+def test_false_detail_over_whole_images_is_the_same(spark):
+    a, keys = structured(12), ["image_id"]
+    reference, made = image_table(spark, a=a, b=a.T), image_table(spark, a=1.6 * a - a**2, b=np.roll(a, 2, 0))
+    pairs = pixel.paired(spectral.high_pass(reference, keys), spectral.high_pass(made, keys), keys)
+    whole = spectral.high_joined(reference, pixel.imploded(made, keys), keys)
+    for got, want in ((spectral.false_detail_whole(whole, keys), spectral.false_detail(pairs, keys)), (spectral.false_detail_map_whole(whole, keys), spectral.false_detail_map(pairs, keys))):
+        by = [c for c in ("image_id", "y", "x") if c in want.columns]
+        got, want = got.toPandas().sort_values(by), want.toPandas().sort_values(by)
+        assert list(got[by].itertuples(index=False)) == list(want[by].itertuples(index=False)) and np.allclose(got.drop(columns=by), want[got.columns].drop(columns=by))
