@@ -36,7 +36,7 @@ def test_no_pixel_is_sent(spark, name):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize(("name", "generated"), [("registration_grid", 1), ("false_detail", 2)])  # the high-passed stack is made of pixels again
+@pytest.mark.parametrize(("name", "generated"), [("registration_grid", 1), ("false_detail", 2), ("false_detail_map", 3)])  # the high-passed stack is made of pixels again, and so is a map
 def test_only_the_stack_is_made_of_pixels(spark, name, generated):
     assert plan_of(catalog.QUERIES[name](spark, SF)).count("Generate ") <= generated
 
